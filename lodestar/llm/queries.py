@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import fingerprint, quality
 
 QUERIES = {
+    "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 SQL = {
+    "op9_fingerprints": fingerprint.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
