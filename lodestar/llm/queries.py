@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprint, quality
+from . import fingerprint, mixing, packing, quality
 
 QUERIES = {
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op7_source_mixing": mixing.op7_source_mixing,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_quality_rules": quality.op10_quality_rules,
 }
