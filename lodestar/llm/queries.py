@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, packing, quality
+from . import fingerprint, mixing, packing, quality, urls, warc
 
 QUERIES = {
+    "op3_url_filters": urls.op3_url_filters,
+    "op4_warc": warc.op4_warc,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op9_fingerprints": fingerprint.op9_fingerprints,
@@ -12,6 +14,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_url_filters": urls.OP3_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op9_fingerprints": fingerprint.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
