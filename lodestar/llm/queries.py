@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ctw, fingerprint, html, mixing, packing, quality, toxicity, urls, warc
+from . import ctw, fingerprint, html, jaccard, mixing, packing, quality, toxicity, urls, warc
 
 QUERIES = {
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op1_ctw_scores": ctw.op1_ctw_scores,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_html_extraction": html.op8_html_extraction,
