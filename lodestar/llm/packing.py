@@ -8,6 +8,7 @@ with ranks from a to b fill given places. Each piece then finds its place by its
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from .common import as_bytes, stored, table
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers; it starts anew beyond that. No result depends on it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Pieces of one length that are ranked together, about.
 RANK_ROWS = 256
 
@@ -34,6 +35,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,21 +43,20 @@ class WordTokens:
         self.cores: dict[bytes, bytes] = {}
         self.limit = cache_words
 
-    def ids(self, text: bytes) -> bytes:
-        found = text.split()
-        try:
-            return b"".join(map(self.whole.__getitem__, found))
-        except KeyError:
-            self._learn(set(found))
-            return b"".join(map(self.whole.__getitem__, found))
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        self._learn(set().union(*split))
+        return [b"".join(map(self.whole.__getitem__, found)) for found in split]
 
     def _learn(self, found: set[bytes]) -> None:
-        if len(self.whole) + len(found) > self.limit:
+        if len(self.whole) > self.limit:
             self.whole.clear()
         if len(self.cores) > self.limit:
             self.cores.clear()
         parts, new = [], set()
-        for w in found - self.whole.keys():
+        for w in found:
+            if w in self.whole:
+                continue
             core, end = (w if b"<|" in w else w.lower()), b""
             if len(core) > 1 and core[-1] in b",." and 97 <= core[-2] <= 122:
                 core, end = core[:-1], core[-1:]
@@ -82,11 +83,11 @@ def _tokens(path: str) -> WordTokens:
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     tokens, end = _tokens(path), struct.pack("<I", end_id)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             rows: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
-                blob = tokens.ids(text) + end
+            for doc_id, ids in zip(part.column(0).to_pylist(), tokens.ids(as_bytes(part.column(1))), strict=True):
+                blob = ids + end
                 for piece, start in enumerate(range(0, len(blob), 4 * capacity)):
                     own = blob[start : start + 4 * capacity]
                     for column, value in zip(rows, (doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
