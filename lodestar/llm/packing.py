@@ -10,10 +10,12 @@ from __future__ import annotations
 import bisect
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ RANK_ROWS = 256
 class WordTokens:
     """Token ids of texts, as little-endian unsigned 32-bit integers, through a cache of words.
 
-    Right for tokenizers that drop white space and ignore case, as word_bpe_49k.json does: no id of theirs
+    Right for tokenizers that drop white space, ignore case and mark word ends, as word_bpe_49k.json does: no id of theirs
     depends on a neighbouring word, nor on the case of A-Z. Texts with special tokens' signs keep their case.
     """
 
@@ -39,10 +41,18 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.whole: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
         self.limit = cache_words
 
+    @staticmethod
+    def _one_word(x: bytes) -> bool:
+        t = x.decode("utf-8", "replace")
+        return t.isalpha() and t.lower().isalpha() and unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", t.lower())
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         self._learn(set().union(*split))
@@ -64,8 +74,19 @@ class WordTokens:
             new.add(core)
             if end:
                 new.add(end)
-        new = [x for x in new if x not in self.cores]
-        for x, got in zip(new, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False), strict=True):
+        plain, other = [], []
+        for x in new:
+            if x not in self.cores:
+                (plain if x.isalpha() and x.isascii() or self._one_word(x) else other).append(x)
+        if plain:
+            # letters only: a word is one run of tokens, the last of which is a word's end
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            blob, begin = ids.tobytes(), 0
+            for x, stop in zip(plain, (4 * stops).tolist(), strict=True):
+                self.cores[x] = blob[begin:stop]
+                begin = stop
+        for x, got in zip(other, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in other], add_special_tokens=False), strict=True):
             self.cores[x] = struct.pack(f"<{len(got.ids)}I", *got.ids)
         for w, core, end in parts:
             self.whole[w] = self.cores[core] + self.cores[end] if end else self.cores[core]
@@ -83,8 +104,8 @@ def _tokens(path: str) -> WordTokens:
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     tokens, end = _tokens(path), struct.pack("<I", end_id)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
             rows: list[list] = [[] for _ in range(6)]
             for doc_id, ids in zip(part.column(0).to_pylist(), tokens.ids(as_bytes(part.column(1))), strict=True):
                 blob = ids + end
