@@ -46,6 +46,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filtered(df: DataFrame, condition: Column | str) -> DataFrame:
+    """df.filter(condition), for a condition on computed columns. Spark would push it below the projections and compute
+    their expressions anew, once for each use; a row number in the condition keeps it above them."""
+    c = F.expr(condition) if isinstance(condition, str) else condition
+    return df.withColumn("_row_number", F.monotonically_increasing_id()).filter(c & (F.col("_row_number") >= 0)).drop("_row_number")
+
+
 def words(text: Column | str) -> Column:
     """The words of a text, natively; none for null."""
     c = F.col(text) if isinstance(text, str) else text
