@@ -5,6 +5,266 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.functions import text as tx
+from lodestar.operators import analytics as an
+from lodestar.operators import retrieval as rt
+from lodestar.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+STATUSES = ["click", "error", "purchase", "signup", "view"]
+THRESHOLD = 0.25
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _points(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def _query_vectors(spark, d):
+    """The stated query set: every vector whose id is divisible by 100."""
+    return _points(spark, d).filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+
+
+def _chunks(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _questions(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+_COS = """
+v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+cs AS (SELECT q.id AS query_id, p.id, round(list_cosine_similarity(q.e, p.e), 6) AS score FROM v q JOIN v p ON q.id <> p.id WHERE q.id % 100 = 0),
+dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs{where} QUALIFY rank <= 20)"""
+_ST = r"regexp_replace(lower(trim(regexp_replace({t}, '[\s\x0b]+', ' ', 'g'))), '([a-z0-9])[-_]([a-z0-9])', '\1\2', 'g')"
+_NORM = "regexp_replace(" + _ST + r", '([a-z0-9])[-_]([a-z0-9])', '\1\2', 'g')"
+_KEY = f"""
+dt AS (SELECT doc_id AS id, {_NORM.format(t="text")} AS t FROM documents),
+qt AS (SELECT item_id AS query_id, {_NORM.format(t="text")} AS t FROM benchmark),
+qg AS (SELECT DISTINCT query_id, substring(t, CAST(i AS BIGINT), 2) AS gram FROM qt, unnest(range(1, length(t))) AS u(i)),
+dg AS (SELECT id, substring(t, CAST(i AS BIGINT), 2) AS gram FROM dt, unnest(range(1, length(t))) AS u(i)),
+po AS (SELECT gram, id, count(*) AS tf FROM dg WHERE gram IN (SELECT gram FROM qg) GROUP BY ALL),
+we AS (SELECT gram, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS w FROM po GROUP BY gram),
+ks AS (SELECT query_id, id, round(sum(tf * w), 4) AS score FROM po JOIN we USING (gram) JOIN qg USING (gram) GROUP BY ALL),
+kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ks QUALIFY rank <= 20)"""
+_EXA = """
+ex AS (SELECT query_id, id, 1.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM qt JOIN dt ON contains(dt.t, qt.t) WHERE qt.t <> '')"""
+_FUSE = """
+un AS (SELECT query_id, id, rank, score, 0 AS list FROM dn UNION ALL SELECT query_id, id, rank, NULL, 1 FROM kw UNION ALL SELECT query_id, id, rank, NULL, 2 FROM ex),
+fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000000 + rank) AS first, bool_or(list <> 1) AS strong, max(score) AS dense_score FROM un GROUP BY ALL),
+ga AS (SELECT *, bool_or(strong) OVER (PARTITION BY query_id) AS open FROM fu)"""
+
+
+@query(f"WITH {_COS.format(where='')} SELECT query_id, id, score, rank FROM dn")
+def dense_topk(spark, d):
+    return rt.dense(_query_vectors(spark, d), _points(spark, d))
+
+
+@query(f"WITH {_COS.format(where=f' WHERE score > {THRESHOLD}')} SELECT query_id, id, score, rank FROM dn")
+def dense_threshold(spark, d):
+    return rt.dense(_query_vectors(spark, d), _points(spark, d), threshold=THRESHOLD)
+
+
+@query(f"WITH {_COS.format(where='')} SELECT query_id, max(score) AS top1, max(score) > {THRESHOLD} AS passes FROM dn GROUP BY query_id")
+def unfiltered_top1(spark, d):
+    return rt.dense(_query_vectors(spark, d), _points(spark, d), k=1).select("query_id", F.col("score").alias("top1"), (F.col("score") > THRESHOLD).alias("passes"))
+
+
+@query(f"WITH {_KEY} SELECT query_id, id, score, rank FROM kw")
+def keyword_bigram_topk(spark, d):
+    return rt.keyword(_questions(spark, d), _chunks(spark, d))
+
+
+@query(f"WITH {_KEY}, {_EXA} SELECT query_id, id FROM ex")
+def exact_phrase_match(spark, d):
+    return rt.exact(_questions(spark, d), _chunks(spark, d))
+
+
+def _lists(spark, d):
+    """The three lists. Question i stands for the query vector with id i, where there is one; document ids for point ids."""
+    vectors = _query_vectors(spark, d)
+    exact = rt.ranked(rt.exact(_questions(spark, d), _chunks(spark, d)).withColumn("score", F.lit(1.0)))
+    return rt.dense(vectors, _points(spark, d), threshold=THRESHOLD), rt.keyword(_questions(spark, d), _chunks(spark, d)), exact
+
+
+_ALL = f"{_COS.format(where=f' WHERE score > {THRESHOLD}')}, {_KEY}, {_EXA}, {_FUSE}"
+
+
+@query(f"WITH {_ALL} SELECT query_id, id, score FROM fu")
+def rrf_fusion(spark, d):
+    return rt.fuse(list(_lists(spark, d))).select("query_id", "id", "score")
+
+
+_HYBRID = "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank, dense_score FROM ga {where} QUALIFY rank <= 5"
+
+
+@query(f"WITH {_ALL} {_HYBRID.format(where='WHERE open AND strong')}")
+def hybrid_retrieve(spark, d):
+    return rt.hybrid(*_lists(spark, d))
+
+
+@query(f"WITH {_ALL} {_HYBRID.format(where='WHERE open')}")
+def hybrid_policy_allow(spark, d):
+    return rt.hybrid(*_lists(spark, d), policy="allow")
+
+
+@query(f"WITH {_ALL} {_HYBRID.format(where='')}")
+def hybrid_without_threshold(spark, d):
+    return rt.hybrid(*_lists(spark, d), thresholded=False)
+
+
+@query(f"""WITH {_KEY}, {_EXA},
+c AS (SELECT k.query_id, k.id, k.rank, q.text AS question, x.text, e.id IS NOT NULL AS exact FROM kw k JOIN benchmark q ON q.item_id = k.query_id JOIN documents x ON x.doc_id = k.id LEFT JOIN ex e ON e.query_id = k.query_id AND e.id = k.id),
+s AS (SELECT query_id, id, rank, exact, CAST(len(list_filter(list_distinct(string_split(regexp_replace(lower(question), '[\\s\\x0b]', '', 'g'), '')), lambda ch: contains(lower(text), ch))) AS BIGINT) AS rerank_score FROM c),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, rerank_score DESC, rank) AS r FROM s QUALIFY r <= 5)
+SELECT query_id, id, rank, exact, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS final_rank FROM t""")
+def rerank_keep_exact(spark, d):
+    exact = rt.exact(_questions(spark, d), _chunks(spark, d)).withColumn("exact", F.lit(True))
+    found = rt.keyword(_questions(spark, d), _chunks(spark, d)).drop("score").join(exact, ["query_id", "id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    full = found.join(_questions(spark, d).withColumnRenamed("text", "question"), "query_id").join(_chunks(spark, d), "id")
+    return rt.rerank(full).select("query_id", "id", "rank", "exact", "rerank_score", "final_rank")
+
+
+def _ranks(spark, d):
+    """Rank of the first keyword hit that holds the question's text; answerable questions are those that some document
+    holds, the others are no_answer."""
+    truth = rt.exact(_questions(spark, d), _chunks(spark, d))
+    hits = rt.keyword(_questions(spark, d), _chunks(spark, d)).join(truth, ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    kind = _questions(spark, d).join(truth.select("query_id").distinct().withColumn("_t", F.lit(True)), "query_id", "left")
+    return kind.join(hits, "query_id", "left").select("query_id", F.when(F.col("_t"), "answerable").otherwise("no_answer").alias("type"), "rank")
+
+
+_RANKS = f"""{_KEY}, {_EXA},
+h AS (SELECT kw.query_id, min(kw.rank) AS rank FROM kw JOIN ex ON kw.query_id = ex.query_id AND kw.id = ex.id GROUP BY ALL),
+r AS (SELECT item_id AS query_id, CASE WHEN item_id IN (SELECT query_id FROM ex) THEN 'answerable' ELSE 'no_answer' END AS type, h.rank FROM benchmark LEFT JOIN h ON h.query_id = item_id)"""
+_RECALLS = ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_{k}" for k in (1, 3, 5, 10, 20))
+
+
+@query(f"WITH {_RANKS} SELECT query_id, type, rank FROM r")
+def first_hit_rank(spark, d):
+    return _ranks(spark, d)
+
+
+@query(f"WITH {_RANKS} SELECT coalesce(type, 'all') AS type, count(*) AS n, {_RECALLS}, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM r GROUP BY GROUPING SETS ((), (type))")
+def recall_at_k(spark, d):
+    return an.recall_report(_ranks(spark, d))
+
+
+@query(f"""WITH {_COS.format(where='')}, t AS (SELECT query_id, max(score) AS top1 FROM dn GROUP BY ALL)
+SELECT label, count(*) AS n, round(min(top1), 6) AS least, round(avg(top1), 6) AS mean, round(max(top1), 6) AS most, count(*) FILTER (top1 > {THRESHOLD}) AS passed FROM t JOIN embeddings ON vec_id = query_id GROUP BY label""")
+def top1_distribution(spark, d):
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
+    t = rt.dense(_query_vectors(spark, d), _points(spark, d), k=1).join(labels, "query_id")
+    return t.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("most"), F.count_if(F.col("score") > THRESHOLD).alias("passed"))
+
+
+@query(r"SELECT doc_id, CAST(ceil((length(text) - length(regexp_replace(text, '[\x{3000}-\x{303F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]', '', 'g'))) * 1.0::DOUBLE + length(regexp_replace(text, '[\x{3000}-\x{303F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]', '', 'g')) * 0.3::DOUBLE) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, {_NORM.format(t='text')} AS search_text FROM documents")
+def search_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.search_text(F.col("text")).alias("search_text"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_distinct(list_filter(regexp_extract_all({_NORM.format(t='text')}, '[a-z0-9]{{3,}}'), lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]'))), ' ') <> '' AS has_code, CAST(len(list_distinct(list_filter(regexp_extract_all({_NORM.format(t='text')}, '[a-z0-9]{{3,}}'), lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')))) AS BIGINT) AS n_codes FROM documents")
+def exact_term_extract(spark, d):
+    terms = tx.exact_terms(tx.search_text(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", (F.size(terms) > 0).alias("has_code"), F.size(terms).cast("long").alias("n_codes"))
+
+
+_CHUNKS = r"""
+n AS (SELECT doc_id, text, CAST(unnest(range(0, greatest(0, CAST(ceil((length(text) - 2000) / 1700.0) AS BIGINT)) + 1)) AS BIGINT) AS chunk_index FROM documents WHERE text IS NOT NULL),
+ch AS (SELECT doc_id, chunk_index, trim(substring(text, chunk_index * 1700 + 1, 2000), chr(32) || chr(9) || chr(10) || chr(13) || chr(11)) AS content FROM n)"""
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, content FROM ch WHERE content <> ''")
+def chunk_fixed(spark, d):
+    return an.fixed_chunks(table(spark, d, "documents"))
+
+
+@query(f"WITH {_CHUNKS}, t AS (SELECT doc_id, CAST(ceil(length(content) * 0.3::DOUBLE) AS BIGINT) AS t FROM ch WHERE content <> '') SELECT doc_id, count(*) AS n, min(t) AS least, round(avg(t), 6) AS mean, max(t) AS most, count(*) FILTER (t > 600) AS over FROM t GROUP BY doc_id")
+def chunk_stats(spark, d):
+    return an.chunk_stats(an.fixed_chunks(table(spark, d, "documents")))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_documents(spark, d):
+    return an.same_hash(table(spark, d, "documents"))
+
+
+@query("SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_points, CASE WHEN n IS NULL THEN 'missing' ELSE 'ok' END AS status FROM documents LEFT JOIN (SELECT vec_id AS doc_id, count(*) AS n FROM embeddings GROUP BY 1) USING (doc_id)")
+def index_reconcile(spark, d):
+    return an.reconcile(table(spark, d, "documents"), table(spark, d, "embeddings"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)")
+def index_orphans(spark, d):
+    return table(spark, d, "embeddings").select("vec_id").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti")
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def facet_counts(spark, d):
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TURNS = """
+m AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT conv_id, turn, text AS question, answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM m WHERE role = 'user' AND r = 'assistant' QUALIFY back <= 5)"""
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, question, answer, back FROM t")
+def recent_turns(spark, d):
+    return an.recent_turns(table(spark, d, "conversations"))
+
+
+@query(f"""WITH {_TURNS}, s AS (SELECT *, sum(length(question) + length(answer)) OVER (PARTITION BY conv_id ORDER BY back) AS chars FROM t)
+SELECT conv_id, turn, back, question, CASE WHEN chars > 1500 THEN substring(answer, 1, greatest(0, 1500 - length(question))) ELSE answer END AS answer FROM s WHERE chars <= 1500 OR back = 1""")
+def history_window(spark, d):
+    return an.history_window(table(spark, d, "conversations"))
+
+
+@query(f"""WITH {_KEY}, b AS (SELECT query_id, id, rank, '[' || rank || '] ' || text AS block FROM kw JOIN documents ON doc_id = id),
+s AS (SELECT *, CAST(sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS chars FROM b) SELECT query_id, id, rank, chars FROM s WHERE chars <= 6000 OR rank = 1""")
+def context_budget(spark, d):
+    hits = rt.keyword(_questions(spark, d), _chunks(spark, d)).join(_chunks(spark, d), "id")
+    return an.context_blocks(hits).select("query_id", "id", "rank", "chars")
+
+
+@query("SELECT e.event_type, coalesce(n, 0) AS n FROM (VALUES " + ", ".join(f"('{s}')" for s in STATUSES) + ") e(event_type) LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type)")
+def status_distribution(spark, d):
+    return an.distribution(table(spark, d, "events"), "event_type", STATUSES)
+
+
+@query("SELECT user_id, round(CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / nullif(count(*) FILTER (event_type IN ('error', 'purchase')), 0), 6) AS rate FROM events GROUP BY user_id")
+def degradation_rate(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(an.rate("event_type = 'error'", "event_type in ('error', 'purchase')").alias("rate"))
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(value) AS n FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    return an.nearest_rank(table(spark, d, "events"), "event_type", "value")
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12' AND event_type NOT IN ('error')")
+def log_window_filter(spark, d):
+    return an.log_window(table(spark, d, "events"), "2024-01-05", "2024-01-12", ("error",)).select("event_id", "event_type", "value")
+
+
+@query(r"SELECT doc_id, CAST(length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) AS BIGINT) AS n_visible, length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) < 20 AS rejected FROM documents")
+def scanned_guard(spark, d):
+    return an.scanned_guard(table(spark, d, "documents"))
