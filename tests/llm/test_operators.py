@@ -51,7 +51,7 @@ def test_ctw_probabilities_sum_to_at_most_one():
     rows = [(d, int(x) >> 8 >> 8 * (2 - d), int(x) & 255, int(m)) for x, m in zip(k, n) for d in range(3)]
     tree = ctw.Tree(*(np.array(x) for x in zip(*rows)), 2)
     p = (10 ** tree.code_lengths()[:, :-1]).sum(1)
-    assert (p < 1).all() and (p > 0.5).all()
+    assert (p < 1).all() and (p > 0.2).all()  # KT leaves the rest to unseen bytes
     # one context, brute force: the root's KT estimate of the first bit
     lone = ctw.Tree(np.zeros(2, int), np.zeros(2, int), np.array([1, 129]), np.array([3.0, 1.0]), 1).code_lengths()
     assert lone[0, 1] == pytest.approx(math.log10(1.5 / 5) + sum(math.log10(1.5 / 2) if b == "0" else math.log10(1.5 / 2) for b in "0000001"))
@@ -264,7 +264,7 @@ def test_mixing_is_whole_and_repeatable(spark):
 
 
 def test_targets_reshare_the_excess():
-    assert mixing.targets([10, 100, 100], [5, 2, 1]) == pytest.approx([20, 295 * 2 / 3 * 1.0 if False else 196.6666666667, 98.3333333333])
+    assert mixing.targets([10, 100, 100], [5, 2, 1]) == pytest.approx([20, 590 / 3, 295 / 3])
 
 
 def test_permutations():
