@@ -5,7 +5,8 @@ reaches the threshold share one of the first ``n - ceil(t n) + 1`` n-grams of ea
 known to be frequent stand last in that order. Rows that share such an n-gram are candidates. Candidates are put in
 tiles, and each pair of tiles is one block of the product: a task multiplies the two tiles' incidence, so that overlap
 counts of all its pairs accumulate in one small matrix, and keeps the pairs within the bounds. Blocks send on degrees and
-a spanning forest of their links, never pairs.
+a spanning forest of their links, never pairs. Before a block gets whole sets, it is screened: every set also has its
+size within each of many ranges of hashes, and an overlap is at most the sum of the lesser sizes.
 """
 
 from __future__ import annotations
@@ -56,6 +57,40 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
         return int(mix(np.array([a + _U(len(s))], _U)).view(np.int64)[0]), int(mix(np.array([b + _U(len(s))], _U)).view(np.int64)[0])
 
 
+def range_sizes(s: np.ndarray) -> np.ndarray:
+    """How many of the set's hashes lie in each of 2^k equal ranges, about four each."""
+    bits = max(0, int(len(s) // 4).bit_length() - 1)
+    place = (s >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
+    return np.bincount(place, minlength=1 << bits).astype(np.uint32)
+
+
+def may_link(na: np.ndarray, a: list[np.ndarray], nb: np.ndarray, b: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which pairs the bounds by sizes, whole and by range, leave."""
+    out = np.zeros((len(a), len(b)), bool)
+    for i, (n, mine) in enumerate(zip(na, a, strict=True)):
+        near = np.flatnonzero(den * np.minimum(n, nb) >= num * np.maximum(n, nb))
+        for width in {len(b[j]) for j in near}:
+            own = [j for j in near if len(b[j]) == width]
+            w = min(width, len(mine))
+            theirs = np.stack([b[j] for j in own]).reshape(len(own), w, -1).sum(2)
+            most = np.minimum(mine.reshape(w, -1).sum(1), theirs).sum(1).astype(float)
+            out[i, own] = den * most >= num * (n + nb[own] - most)
+    return out
+
+
+def _screen(table_: pa.Table, num: int, den: int) -> pa.Table:
+    """The rows of a block that some pair may link."""
+    tiles, sizes = table_.column("tile").to_numpy(), table_.column("n").to_numpy().astype(float)
+    ranges = [np.frombuffer(x.as_py(), np.uint32) for x in table_.column("ranges")]
+    low, high = table_.column("low")[0].as_py(), table_.column("high")[0].as_py()
+    left, right = np.flatnonzero(tiles == low), np.flatnonzero(tiles == high)
+    ok = may_link(sizes[left], [ranges[i] for i in left], sizes[right], [ranges[i] for i in right], num, den)
+    if low == high:
+        np.fill_diagonal(ok, False)
+    rows = np.unique(np.concatenate([left[ok.any(1)], right[ok.any(0)]]))
+    return table_.select(["low", "high", "tile", "key"]).take(pa.array(rows))
+
+
 def _hot(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Shingles in several different texts of this task, with their number."""
     seen: set[tuple[int, int]] = set()
@@ -92,7 +127,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, hot
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            sizes, keys, keys2, prefix = [], [], [], []
+            sizes, keys, keys2, prefix, ranges = [], [], [], [], []
             for text in as_bytes(part.column(1)):
                 s = shingle_set(text, n)
                 key = _set_key(s)
@@ -101,6 +136,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, hot
                 keys2.append(key[1])
                 if not len(s) or key in seen:
                     prefix.append(None)
+                    ranges.append(None)
                     continue
                 seen.add(key)
                 rank = np.zeros(len(s), np.int64)
@@ -108,10 +144,11 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, hot
                     place = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
                     rank = np.where(grams[place] == s, counts[place], 0)
                 take = len(s) - -(-num * len(s) // den) + 1
+                ranges.append(range_sizes(s).tobytes())
                 prefix.append(s[np.lexsort((s, rank))[:take]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(keys2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key", "key2", "prefix"],
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(keys2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(ranges, pa.binary())],
+                ["doc_id", "n_shingles", "key", "key2", "prefix", "ranges"],
             )
 
 
@@ -249,7 +286,7 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     kept = F.struct(F.col(doc_id).alias("_id"), *(F.col(k).alias(k) for k in keep))
     d = df.select(kept.alias("doc_id"), F.col(text).alias("_t"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    rows = stored(d.mapInArrow(partial(_prefixes, n=shingle, num=num, den=den, hot=hot_grams), f"doc_id {kind}, n_shingles long, key long, key2 long, prefix array<long>"), "prefixes")
+    rows = stored(d.mapInArrow(partial(_prefixes, n=shingle, num=num, den=den, hot=hot_grams), f"doc_id {kind}, n_shingles long, key long, key2 long, prefix array<long>, ranges binary"), "prefixes")
     classes = stored(rows.filter("n_shingles > 0").groupBy("key", "key2", "n_shingles").agg(F.min("doc_id._id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
 
     # rows of the matrix that share a rare n-gram, as lists of classes
@@ -272,6 +309,10 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     alone = blocks.groupBy(F.col("low").alias("l"), F.col("high").alias("g")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     blocks = stored(blocks.join(alone, (F.col("low") == F.col("l")) & (F.col("high") == F.col("g")), "left_semi"), "blocks")
 
+    ranges = rows.filter(F.col("ranges").isNotNull()).groupBy(F.col("key").alias("rk")).agg(F.first("ranges").alias("ranges"), F.first("n_shingles").alias("n"))
+    light = blocks.join(ranges, F.col("key") == F.col("rk")).drop("rk")
+    blocks = stored(light.groupBy("low", "high").applyInArrow(lambda rows: _screen(rows, num, den), "low long, high long, tile long, key long"), "screened")
+
     # the candidates' sets, from the texts
     wanted = blocks.select("key").distinct()
     many = wanted.count()
@@ -292,7 +333,7 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     known = known.select("node", "root").join(least, F.col("root") == F.col("r")).select("node", "component")
     c = classes.join(known, F.col("key") == F.col("node"), "left").join(degrees, F.col("key") == F.col("da"), "left")
     c = c.select(F.col("key").alias("ck"), F.col("key2").alias("ck2"), F.coalesce("component", "least").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = rows.drop("prefix").join(c, (F.col("key") == F.col("ck")) & (F.col("key2") == F.col("ck2")) & (F.col("n_shingles") > 0), "left")
+    out = rows.drop("prefix", "ranges").join(c, (F.col("key") == F.col("ck")) & (F.col("key2") == F.col("ck2")) & (F.col("n_shingles") > 0), "left")
     return out.select(
         F.col("doc_id._id").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id._id")).alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), *(F.col("doc_id")[k].alias(k) for k in keep),
