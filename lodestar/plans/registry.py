@@ -48,20 +48,20 @@ def _questions(spark, d):
 _COS = """
 v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 cs AS (SELECT q.id AS query_id, p.id, round(list_cosine_similarity(q.e, p.e), 6) AS score FROM v q JOIN v p ON q.id <> p.id WHERE q.id % 100 = 0),
-dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs{where} QUALIFY rank <= 20)"""
+dn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs{where} QUALIFY rank <= 20)"""
 _ST = r"regexp_replace(lower(trim(regexp_replace({t}, '[\s\x0b]+', ' ', 'g'))), '([a-z0-9])[-_]([a-z0-9])', '\1\2', 'g')"
 _NORM = "regexp_replace(" + _ST + r", '([a-z0-9])[-_]([a-z0-9])', '\1\2', 'g')"
 _KEY = f"""
-dt AS (SELECT doc_id AS id, {_NORM.format(t="text")} AS t FROM documents),
-qt AS (SELECT item_id AS query_id, {_NORM.format(t="text")} AS t FROM benchmark),
-qg AS (SELECT DISTINCT query_id, substring(t, CAST(i AS BIGINT), 2) AS gram FROM qt, unnest(range(1, length(t))) AS u(i)),
+dt AS MATERIALIZED (SELECT doc_id AS id, {_NORM.format(t="text")} AS t FROM documents),
+qt AS MATERIALIZED (SELECT item_id AS query_id, {_NORM.format(t="text")} AS t FROM benchmark),
+qg AS MATERIALIZED (SELECT DISTINCT query_id, substring(t, CAST(i AS BIGINT), 2) AS gram FROM qt, unnest(range(1, length(t))) AS u(i)),
 dg AS (SELECT id, substring(t, CAST(i AS BIGINT), 2) AS gram FROM dt, unnest(range(1, length(t))) AS u(i)),
-po AS (SELECT gram, id, count(*) AS tf FROM dg WHERE gram IN (SELECT gram FROM qg) GROUP BY ALL),
+po AS MATERIALIZED (SELECT gram, id, count(*) AS tf FROM dg WHERE gram IN (SELECT gram FROM qg) GROUP BY ALL),
 we AS (SELECT gram, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS w FROM po GROUP BY gram),
 ks AS (SELECT query_id, id, round(sum(tf * w), 4) AS score FROM po JOIN we USING (gram) JOIN qg USING (gram) GROUP BY ALL),
-kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ks QUALIFY rank <= 20)"""
+kw AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ks QUALIFY rank <= 20)"""
 _EXA = """
-ex AS (SELECT query_id, id, 1.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM qt JOIN dt ON contains(dt.t, qt.t) WHERE qt.t <> '')"""
+ex AS MATERIALIZED (SELECT query_id, id, 1.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM qt JOIN dt ON contains(dt.t, qt.t) WHERE qt.t <> '')"""
 _FUSE = """
 un AS (SELECT query_id, id, rank, score, 0 AS list FROM dn UNION ALL SELECT query_id, id, rank, NULL, 1 FROM kw UNION ALL SELECT query_id, id, rank, NULL, 2 FROM ex),
 fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000000 + rank) AS first, bool_or(list <> 1) AS strong, max(score) AS dense_score FROM un GROUP BY ALL),
