@@ -11,6 +11,7 @@ size within each of many ranges of hashes, and an overlap is at most the sum of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import add_counts, as_bytes, count_sorted, mix, stored, table, word_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: Rows in a tile, about.
-TILE = 48
+#: Rows of like size in a tile, about.
+TILE = 256
 #: N-grams that stand last in the order: those in this many texts of one task, the most frequent HOT_GRAMS of them
 #: (a bounded broadcast; any choice gives the same links).
 HOT_LEAST, HOT_GRAMS = 4, 1 << 17
@@ -297,20 +298,26 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     # tiles: two hops of the least neighbour bring candidates of one family together; any tiles give the same links
     member = lists.select("h", F.explode("keys").alias("key"), F.array_min("keys").alias("m"))
     one = member.groupBy("key").agg(F.min("m").alias("m"))
+    of_size = rows.filter(F.col("ranges").isNotNull()).groupBy(F.col("key").alias("rk")).agg(F.first("ranges").alias("ranges"), F.first("n_shingles").alias("n"))
     two = stored(one.alias("x").join(one.select(F.col("key").alias("k"), F.col("m").alias("m2")), F.col("m") == F.col("k")).select("key", F.least("m", "m2").alias("family")), "families")
-    sizes = two.groupBy(F.col("family").alias("f")).agg(F.count(F.lit(1)).alias("size"))
-    tiles = stored(two.join(sizes, F.col("family") == F.col("f")).select(F.col("key").alias("k"), F.xxhash64("family", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / TILE))).alias("tile")), "tiles")
+    # sizes that may link differ by a factor of den / num at most: a little more spans a size class, so classes by one
+    step = math.log(1.01 * den / num)
+    two = two.join(of_size.select("rk", "n"), F.col("key") == F.col("rk")).select("key", "family", F.floor(F.log(F.col("n")) / F.lit(step)).alias("class"))
+    sizes = two.groupBy(F.col("family").alias("f"), F.col("class").alias("fc")).agg(F.count(F.lit(1)).alias("size"))
+    placed = two.join(sizes, (F.col("family") == F.col("f")) & (F.col("class") == F.col("fc")))
+    tiles = stored(placed.select(F.col("key").alias("k"), F.struct("class", F.xxhash64("family", "class", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / TILE))).alias("t")).alias("tile")), "tiles")
 
     # blocks: each pair of tiles that some list spans, with the list's members in the two
     placed = member.select("h", "key").join(tiles, F.col("key") == F.col("k")).select("h", "key", "tile")
     spans = placed.groupBy("h").agg(F.collect_set("tile").alias("tiles"), F.collect_list(F.struct("key", "tile")).alias("members"))
-    each = spans.select("tiles", F.explode("members").alias("m")).select("m.key", "m.tile", F.explode("tiles").alias("other"))
+    each = spans.select("tiles", F.explode("members").alias("m"))
+    each = each.select("m.key", "m.tile", F.explode(F.filter("tiles", lambda t: F.abs(t["class"] - F.col("m.tile.class")) <= 1)).alias("other"))
+    each = each.select("key", F.col("tile.t").alias("tile"), F.col("other.t").alias("other"))
     blocks = each.select("key", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).distinct()
     alone = blocks.groupBy(F.col("low").alias("l"), F.col("high").alias("g")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     blocks = stored(blocks.join(alone, (F.col("low") == F.col("l")) & (F.col("high") == F.col("g")), "left_semi"), "blocks")
 
-    ranges = rows.filter(F.col("ranges").isNotNull()).groupBy(F.col("key").alias("rk")).agg(F.first("ranges").alias("ranges"), F.first("n_shingles").alias("n"))
-    light = blocks.join(ranges, F.col("key") == F.col("rk")).drop("rk")
+    light = blocks.join(of_size, F.col("key") == F.col("rk")).drop("rk")
     blocks = stored(light.groupBy("low", "high").applyInArrow(lambda rows: _screen(rows, num, den), "low long, high long, tile long, key long"), "screened")
 
     # the candidates' sets, from the texts
