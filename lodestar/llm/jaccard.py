@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_counts, as_bytes, count_sorted, mix, stored, table, word_hashes
+from .common import add_counts, as_bytes, count_sorted, gives_back, mix, stored, table, word_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Rows of like size in a tile, about.
@@ -92,6 +92,7 @@ def _screen(table_: pa.Table, num: int, den: int) -> pa.Table:
     return table_.select(["low", "high", "tile", "key"]).take(pa.array(rows))
 
 
+@gives_back
 def _hot(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Shingles in several different texts of this task, with their number."""
     seen: set[tuple[int, int]] = set()
@@ -121,6 +122,7 @@ def _hot(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["gram", "n"])
 
 
+@gives_back
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, hot) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_shingles, key, key2, prefix): the rarest n-grams of each set. Equal sets of a task send it once."""
     grams, counts = hot.value
@@ -153,6 +155,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, hot
             )
 
 
+@gives_back
 def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, wanted) -> Iterator[pa.RecordBatch]:
     keys = None if wanted is None else wanted.value
     seen: set[int] = set()

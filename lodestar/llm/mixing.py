@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import as_bytes, mix, stored, table
+from .common import as_bytes, gives_back, mix, stored, table
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Words in a block, slots in a shard, and shards at most (beyond that, shards grow).
@@ -28,6 +28,7 @@ _U = np.uint64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+@gives_back
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         size = [len(x.split()) for x in as_bytes(batch.column("_text"))]
@@ -158,6 +159,7 @@ class Mixture:
         return d.select(*(c for c in d.columns if c != "_parts"), "_parts").mapInArrow(_assembled, out.schema)
 
 
+@gives_back
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("_text")

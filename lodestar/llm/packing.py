@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored, table
+from .common import as_bytes, gives_back, stored, table
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers; it starts anew beyond that. No result depends on it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Pieces of one length that are ranked together, about.
 RANK_ROWS = 256
 
@@ -101,6 +101,7 @@ def _tokens(path: str) -> WordTokens:
     return _TOKENS[path]
 
 
+@gives_back
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     tokens, end = _tokens(path), struct.pack("<I", end_id)
     for batch in batches:
