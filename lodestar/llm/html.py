@@ -2,8 +2,9 @@
 
 The standard library's parser streams events. Block elements end lines; each line has its characters of text, its
 tags and the elements around it. The ratio of the two is smoothed by a Gaussian over neighbouring lines, and lines
-above a threshold form the content cluster. The element that holds the cluster is the content region, and every line
-of it stays, short ones too, but for those inside menus, adverts, forms and the like.
+above a threshold form the content cluster. Outside the articles of a page (or main), a smoothed ratio counts by PRIOR.
+Menus, adverts, forms and the like are cleaned out of the cluster. The elements that hold its lines are the content
+region, and every other line of them stays, short ones too.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import table
 
 #: Spread of the Gaussian, in lines; share of the content cluster's mass that the region must hold.
 SIGMA, HELD = 1.0, 0.75
+#: Weight of the smoothed ratio of a line outside the articles, or outside main on a page without articles.
+PRIOR = 0.5
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose text is never content.
@@ -37,6 +40,9 @@ _FRAMES = frozenset("container grid has layout no page with without wrap wrapper
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CONTENT = ("article", "main")
+_CONTAINERS = ("div", "section", "td", "body", "html", "center", "blockquote", "table")
+#: Elements whose text no browser shows as text of the page; it has no part in the ratios.
+_UNSEEN = frozenset("datalist head iframe math noscript object script style svg template title".split())
 
 
 class _Element:
@@ -150,36 +156,59 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> np.ndarray:
     return pad(v) / pad(np.ones(len(v)))
 
 
+def _outermost(e: _Element, tag: str) -> _Element | None:
+    return next((x for x in reversed(list(_around(e))) if x.tag == tag), None)
+
+
+def _container(e: _Element | None) -> _Element | None:
+    """The nearest element that can be a region; None: the page."""
+    while e is not None and e.tag not in _CONTAINERS:
+        e = e.parent if e.parent and e.parent.parent else None
+    return e
+
+
+def _cluster(lines: list[tuple[str, int, _Element]], anchored: list[bool], kept: list[bool], sigma: float) -> list[int]:
+    """Positions of the kept lines whose smoothed ratio reaches the threshold."""
+    ratio = smoothed([len(text) / max(1, tags) for text, tags, _ in lines], sigma)
+    threshold = min(float(ratio.std()), float(ratio.mean()))
+    if any(anchored):
+        ratio = np.where(anchored, ratio, PRIOR * ratio)
+    return [i for i, r in enumerate(ratio) if kept[i] and r >= threshold]
+
+
 def extract(html: str, sigma: float = SIGMA) -> str:
     """The main text: lines of the content region, in page order, joined by one space. Empty if there is none."""
     parser = Lines()
     parser.feed(html)
-    lines = [(text, tags, e) for text, tags, e in parser.finish() if _kept(e)]
-    if not lines:
+    lines = [x for x in parser.finish() if not any(e.tag in _UNSEEN for e in _around(x[2]))]
+    kept = [_kept(e) for _, _, e in lines]
+    if not any(kept):
         return ""
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, _ in lines], sigma)
-    threshold = min(float(ratio.std()), float(ratio.mean()))
-    total = 0.0
+    for tag in _CONTENT:  # main only where no article has kept lines
+        anchors = [_outermost(e, tag) if k else None for (_, _, e), k in zip(lines, kept, strict=True)]
+        if any(anchors):
+            break
+    cluster = _cluster(lines, [a is not None for a in anchors], kept, sigma)
+    if not cluster:  # all of it is cleaned out: what is left is clustered by itself
+        own = [i for i, k in enumerate(kept) if k]
+        cluster = [own[j] for j in _cluster([lines[i] for i in own], [anchors[i] is not None for i in own], [True] * len(own), sigma)]
+    if any(anchors[i] for i in cluster):
+        regions = {id(anchors[i]) for i in cluster if anchors[i]}
+        holders = {id(x) for i in cluster if anchors[i] for x in _around(anchors[i])}
+        for i in cluster:
+            if not anchors[i] and (c := _container(lines[i][2])) and id(c) not in holders:
+                regions.add(id(c))  # with the short lines there; an element around an article too is no region
+        own = set(cluster)
+        return " ".join(text for i, (text, _, e) in enumerate(lines) if kept[i] and (i in own or any(id(x) in regions for x in _around(e))))
+    total = float(sum(len(lines[i][0]) for i in cluster))
     elements: dict[int, _Element] = {}
-    for (text, _, e), r in zip(lines, ratio, strict=True):
-        if r >= threshold:
-            total += len(text)
-        for x in _around(e):
+    for i in cluster:
+        for x in _around(lines[i][2]):
             elements[id(x)] = x
-            if r >= threshold:
-                x.mass += len(text)
-    region = None
-    for tag in _CONTENT:
-        found = [x for x in elements.values() if x.tag == tag]
-        if found:
-            region = max(found, key=lambda x: (x.mass, -x.depth))
-            break
-    if region is None:
-        held = [x for x in elements.values() if x.mass >= HELD * total]
-        region = max(held, key=lambda x: x.depth, default=None)
-        while region is not None and region.tag not in ("div", "section", "td", "body", "html", "center", "blockquote", "table"):
-            region = region.parent if region.parent and region.parent.parent else None
-    return " ".join(text for text, _, e in lines if region is None or any(x is region for x in _around(e)))
+            x.mass += len(lines[i][0])
+    held = [x for x in elements.values() if x.mass >= HELD * total]
+    region = _container(max(held, key=lambda x: x.depth, default=None))
+    return " ".join(text for (text, _, e), k in zip(lines, kept, strict=True) if k and (region is None or any(x is region for x in _around(e))))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], sigma: float) -> Iterator[pa.RecordBatch]:

@@ -284,6 +284,19 @@ def test_html(spark, page, text):
     assert html.extract(page or "") == text
 
 
+def test_html_ratio_decides_beside_and_between_articles():
+    one, two = "words of the first story. " * 20, "words of the second story. " * 12
+    menu = "".join(f"<p><a href=x><i>{w}</i></a></p>" for w in "abcdefgh")
+    page = f"<body><article><h2>One</h2><p>{one}</p></article><article><h2>Two</h2><p>{two}</p></article></body>"
+    assert html.extract(page) == " ".join(f"One {one} Two {two}".split())
+    lead = "a long lead that stands before the article. " * 15
+    assert html.extract(f"<body><p>{lead}</p>{menu}<article><p>{one}</p></article></body>") == " ".join(f"{lead} {one}".split())
+    # an article of links only is no content beside a long text
+    assert html.extract(f"<body><div><p>{one}</p><p>{two}</p></div><div>{menu}</div><article>{menu}</article></body>") == " ".join(f"{one} {two}".split())
+    # what is cleaned out does not hide a short article
+    assert html.extract(f"<body><article><p>tiny</p></article><nav>{menu}</nav><footer><p>{lead * 9}</p></footer></body>") == "tiny"
+
+
 def test_html_frame(spark):
     got = html.main_text(spark.createDataFrame([(1, "u", None, 1), (1, None, "<p>x", 2)], "page_id long, url string, html string, text int")).collect()
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in got] == [(1, "u", "", 0), (1, None, "x", 1)]
