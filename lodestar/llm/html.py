@@ -4,7 +4,7 @@ The standard library's parser streams events. Block elements end lines; each lin
 tags and the elements around it. The ratio of the two is smoothed by a Gaussian over neighbouring lines, and lines
 above a threshold form the content cluster. Outside the articles of a page (or main), a smoothed ratio counts by PRIOR.
 Menus, adverts, forms and the like are cleaned out of the cluster. The elements that hold its lines are the content
-region, and every other line of them stays, short ones too.
+region, and every other line of them stays, short ones too; without articles, so do the lines between cluster lines.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Spread of the Gaussian, in lines; share of the content cluster's mass that the region must hold.
+#: Spread of the Gaussian, in lines; share of the content cluster's mass that the main region holds, without articles.
 SIGMA, HELD = 1.0, 0.75
 #: Weight of the smoothed ratio of a line outside the articles, or outside main on a page without articles.
 PRIOR = 0.5
@@ -207,8 +207,17 @@ def extract(html: str, sigma: float = SIGMA) -> str:
             elements[id(x)] = x
             x.mass += len(lines[i][0])
     held = [x for x in elements.values() if x.mass >= HELD * total]
-    region = _container(max(held, key=lambda x: x.depth, default=None))
-    return " ".join(text for (text, _, e), k in zip(lines, kept, strict=True) if k and (region is None or any(x is region for x in _around(e))))
+    main = _container(max(held, key=lambda x: x.depth, default=None))
+    regions, own = {id(main)}, set(range(cluster[0], cluster[-1] + 1))
+    around = {id(x) for x in _around(main)} if main else set()
+    sizes: dict[int, int] = {}
+    for (text, _, e), k in zip(lines, kept, strict=True):
+        for x in _around(e) if k else ():
+            sizes[id(x)] = sizes.get(id(x), 0) + len(text)
+    for i in cluster:  # other blocks that are cluster lines mostly stay with their short lines, too
+        if (c := _container(lines[i][2])) and id(c) not in around and c.mass >= HELD * sizes[id(c)]:
+            regions.add(id(c))
+    return " ".join(text for i, (text, _, e) in enumerate(lines) if kept[i] and (main is None or i in own or any(id(x) in regions for x in _around(e))))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], sigma: float) -> Iterator[pa.RecordBatch]:

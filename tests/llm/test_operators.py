@@ -292,11 +292,17 @@ def test_html_ratio_decides_beside_and_between_articles():
     lead = "a long lead that stands before the article. " * 15
     assert html.extract(f"<body><p>{lead}</p>{menu}<article><p>{one}</p></article></body>") == " ".join(f"{lead} {one}".split())
     # an article of links only is no content beside a long text
-    assert html.extract(f"<body><div><p>{one}</p><p>{two}</p></div><div>{menu}</div><article>{menu}</article></body>") == " ".join(f"{one} {two}".split())
+    assert html.extract(f"<body><div><p>{one}</p><p>{two}</p></div><nav>{menu}</nav><article>{menu}</article></body>") == " ".join(f"{one} {two}".split())
     # what is cleaned out does not hide a short article
     assert html.extract(f"<body><article><p>tiny</p></article><nav>{menu}</nav><footer><p>{lead * 9}</p></footer></body>") == "tiny"
 
 
+def test_html_keeps_siblings_above_the_threshold():
+    parts = ["most of the text is here. " * 32, "between", "and a fifth of it there. " * 8, "end"]
+    page = "<body><p>before</p><div><p>{}</p></div><p>{}</p><div><p>{}</p><p>{}</p></div></body>".format(*parts)
+    assert html.extract(page).endswith(" ".join(" ".join(parts).split()))
+
+
 def test_html_frame(spark):
     got = html.main_text(spark.createDataFrame([(1, "u", None, 1), (1, None, "<p>x", 2)], "page_id long, url string, html string, text int")).collect()
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in got] == [(1, "u", "", 0), (1, None, "x", 1)]
