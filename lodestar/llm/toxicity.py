@@ -25,8 +25,11 @@ MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2500, 4000, 20_000
 #: A subword is learnt if it stands in so many sample documents, its share among toxic ones exceeds that among clean
 #: ones by so many standard errors and so many times; the MAX_SUBWORDS most telling are kept.
 MIN_DOCUMENTS, MIN_Z, MIN_LIFT, MAX_SUBWORDS = 3, 4.5, 5.0, 1 << 16
-#: Texts that are taken apart at once while fitting.
-FIT_TEXTS = 256
+#: Texts, and bytes of them, that are taken apart at once while fitting; no result depends on them.
+FIT_TEXTS, FIT_BYTES = 256, 2 << 20
+#: Bytes of words that are taken apart at once while scoring; longer words are worked through in slices. Words of more
+#: than LONG bytes are not remembered.
+SLICE, LONG = 1 << 18, 64
 EPOCHS, BATCH, RATE, DECAY, SCALE, SEED = 20, 128, 0.05, 1e-4, 50.0, 7
 THRESHOLD = 0.3
 #: Words whose scores a Python worker remembers; no result depends on it.
@@ -37,12 +40,14 @@ _U = np.uint64
 Model = tuple[np.ndarray, np.ndarray, float]
 
 
+def _clean(word: bytes) -> bytes:
+    return word.lower().strip(_EDGES) or word
+
+
 def word_subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes, word's position): the byte n-grams of ``<word>`` and the word itself, A-Z lower-cased and
-    without punctuation at its ends. A word of punctuation only counts as it is; longer words than 64 bytes are taken
-    by their first and last 32."""
-    clean = [w.lower().strip(_EDGES) or w for w in words]
-    clean = [w if len(w) <= 64 else w[:32] + w[-32:] for w in clean]
+    """(64-bit hashes, word's position): the byte n-grams of ``<word>`` and the word itself, whatever its length, A-Z
+    lower-cased and without punctuation at its ends. A word of punctuation only counts as it is."""
+    clean = [_clean(w) for w in words]
     joined = np.frombuffer(b"".join(b"<" + w + b">" for w in clean), np.uint8).astype(_U)
     size = np.array([len(w) + 2 for w in clean], np.int64)
     owner = np.repeat(np.arange(len(clean)), size)
@@ -61,6 +66,24 @@ def word_subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def long_subwords(word: bytes) -> Iterator[np.ndarray]:
+    """The hashes of word_subwords([word]) in parts, from slices that overlap by the longest n-gram less one byte."""
+    data = np.frombuffer(b"<" + _clean(word) + b">", np.uint8)
+    whole = np.zeros(1, _U)
+    for at in range(0, len(data), SLICE):
+        part = data[at : at + SLICE + max(GRAMS) - 1].astype(_U)
+        own = min(SLICE, len(part))
+        gram = np.zeros(own, _U)
+        for n in range(1, max(GRAMS) + 1):
+            fits = max(0, min(own, len(part) - n + 1))
+            gram[:fits] = (gram[:fits] << _U(8)) | part[n - 1 : n - 1 + fits]
+            if n in GRAMS:
+                yield mix(gram[:fits] + _U(n << 56))
+        left = (len(data) - at - np.arange(own)).astype(_U)
+        whole += mix(part[:own] + _U(1 << 40) * (left + _U(1))).sum(dtype=_U)
+    yield mix(whole ^ _U(0xABCDEF))
+
+
 def unlike(texts: list[bytes], low: int = 4) -> list[int]:
     """Positions of texts that share none of their smallest shingle hashes with an earlier one: near copies in the
     sample would pass their whole text off as telling."""
@@ -89,6 +112,17 @@ def _subwords(texts: list[bytes]) -> tuple[np.ndarray, list[tuple]]:
     return keys, [(*np.unique(w, return_counts=True), max(1, len(w)), start, size) for w in ids]
 
 
+def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most FIT_TEXTS texts and, beyond one text, FIT_BYTES bytes."""
+    at = 0
+    while at < len(texts):
+        size, end = len(texts[at]), at + 1
+        while end < min(len(texts), at + FIT_TEXTS) and size + len(texts[end]) <= FIT_BYTES:
+            size, end = size + len(texts[end]), end + 1
+        yield at, end
+        at = end
+
+
 def _spread(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Places of all subwords of the words."""
     n = size[words]
@@ -107,11 +141,11 @@ def train(texts: list[bytes], toxic: np.ndarray, prior: float | None = None, epo
         return none
     n, n1 = len(y), int(y.sum())
     everywhere, in_toxic = [], []
-    for at in range(0, n, FIT_TEXTS):  # in parts, so that the driver never holds all subwords of all words
-        keys, docs = _subwords(texts[at : at + FIT_TEXTS])
+    for at, end in _parts(texts):  # in parts, so that the driver never holds all subwords of all words
+        keys, docs = _subwords(texts[at:end])
         own = [np.unique(keys[_spread(w, start, size)]) for w, _, _, start, size in docs]
         everywhere.append(count_sorted(np.concatenate(own)))
-        in_toxic += [k for k, bad in zip(own, y[at : at + FIT_TEXTS], strict=True) if bad]
+        in_toxic += [k for k, bad in zip(own, y[at:end], strict=True) if bad]
         if len(everywhere) == 8:
             everywhere, in_toxic = [add_counts(everywhere)], [np.concatenate(in_toxic)]
     known, there = add_counts(everywhere)
@@ -125,8 +159,8 @@ def train(texts: list[bytes], toxic: np.ndarray, prior: float | None = None, epo
     if not len(subwords):
         return none
     rows = []
-    for at in range(0, n, FIT_TEXTS):
-        keys, docs = _subwords(texts[at : at + FIT_TEXTS])
+    for at, end in _parts(texts):
+        keys, docs = _subwords(texts[at:end])
         column = np.minimum(np.searchsorted(subwords, keys), len(subwords) - 1)
         kept = subwords[column] == keys
         for w, times, words, start, size in docs:
@@ -169,18 +203,42 @@ class Scorer:
         new = [w for w in words if w not in self.cache]
         if not new:
             return
+        group, size = [], 0
+        for w in new:
+            if len(w) > SLICE:
+                total = n = 0
+                for keys in long_subwords(w):
+                    total, n = total + float(self._known(keys).sum()), n + len(keys)
+                self.cache[w] = total / n
+                continue
+            if size + len(w) > SLICE:
+                self._learn(group)
+                group, size = [], 0
+            group.append(w)
+            size += len(w)
+        if group:
+            self._learn(group)
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.subwords):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.subwords, keys), len(self.subwords) - 1)
+        return np.where(self.subwords[at] == keys, self.scores[at], 0.0)
+
+    def _learn(self, new: list[bytes]) -> None:
         keys, owners = word_subwords(new)
-        total = np.zeros(len(new))
-        if len(self.subwords):
-            at = np.minimum(np.searchsorted(self.subwords, keys), len(self.subwords) - 1)
-            total = np.bincount(owners, np.where(self.subwords[at] == keys, self.scores[at], 0.0), len(new))
+        total = np.bincount(owners, self._known(keys), len(new))
         self.cache.update(zip(new, (total / np.bincount(owners, minlength=len(new))).tolist(), strict=True))
 
     def scores_of(self, texts: list[bytes]) -> list[float]:
         """Probabilities of class 1."""
         split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        logits = (self.bias + sum(map(self.cache.__getitem__, w)) / max(1, len(w)) for w in split)
+        distinct = set().union(*split)
+        self.learn(distinct)
+        logits = [self.bias + sum(map(self.cache.__getitem__, w)) / max(1, len(w)) for w in split]
+        for w in distinct:
+            if len(w) > LONG:
+                del self.cache[w]
         return [1 / (1 + math.exp(-min(max(x, -60), 60))) for x in logits]
 
 

@@ -236,6 +236,18 @@ def test_toxicity_generalises(spark):
     assert toxicity.toxicity(docs(spark, []), frame).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 5, 64, 1 << 18])
+def test_subwords_of_long_words(monkeypatch, size):
+    monkeypatch.setattr(toxicity, "SLICE", size)
+    for w in (b"x", b"ab", b"abcdefg", b"--Long/" * 40, "滾開的白痴".encode() * 30):
+        want = sorted(toxicity.word_subwords([w])[0].tolist())
+        assert sorted(np.concatenate(list(toxicity.long_subwords(w))).tolist()) == want
+    keys = np.unique(toxicity.word_subwords([b"-moron-"])[0])
+    scorer = toxicity.Scorer(keys, np.full(len(keys), 900.0), -2.0)
+    joined = "\u00a0".join(["fine"] * 20 + ["moron"] + ["fine"] * 20).encode()
+    assert scorer.scores_of([joined])[0] > 0.5 > scorer.scores_of([joined.replace(b"moron", b"great")])[0] and not scorer.cache
+
+
 def test_mixing_is_whole_and_repeatable(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(f"w{i}_{j}" for j in range(int(rng.integers(0, 400))))) for i in range(60)] + TEXTS
