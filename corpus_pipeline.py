@@ -31,10 +31,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect, the document with the least doc_id stays."""
-    groups = jaccard.jaccard_join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    gone = stored(groups, "near-duplicates")  # its size decides whether Spark broadcasts it
-    return _documents(docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
+    """Of each group of rows that links connect, one row stays: that with the least doc_id (null last), then the first."""
+    rows = stored(docs.withColumns({"_row": F.monotonically_increasing_id(), "_own": F.col("doc_id")}), "rows")
+    linked = jaccard.jaccard_join(rows, doc_id="_row", keep=("_own",)).filter("n_links > 0")
+    linked = stored(linked.select(F.col("doc_id").alias("gone"), "component_id", "_own"), "linked")
+    stays = linked.groupBy("component_id").agg(F.min(F.struct(F.col("_own").isNull(), "_own", "gone")).alias("m")).select(F.col("m.gone").alias("stays"))
+    gone = stored(linked.select("gone").join(stays, F.col("gone") == F.col("stays"), "left_anti"), "near-duplicates")  # its size decides whether Spark broadcasts it
+    return _documents(rows.join(gone, F.col("_row") == F.col("gone"), "left_anti"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,6 +119,15 @@ def test_jaccard_without_broadcast(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == brute_links(rows)
 
 
+def test_one_row_stays_of_each_group(spark):
+    import corpus_pipeline
+
+    rows = [(6, LONG), (6, LONG), (None, LONG), (7, LONG + " more"), (7, "another text under an id of a removed one"), (8, "one two"), (8, "one three"), (None, "two rows without id"), (None, "two rows without id"), (9, None), (9, None)]
+    got = corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), "").collect()
+    want = [(6, LONG), (7, rows[4][1]), (8, "one two"), (8, "one three"), (None, rows[7][1]), (9, None), (9, None)]
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, want))
+
+
 def test_components_of_a_long_path(spark):
     got = jaccard.components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")).collect()
     assert len(got) == 201 and {r.root for r in got} == {0}
