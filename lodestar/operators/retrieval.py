@@ -48,6 +48,7 @@ def dense(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, threshold:
                     continue
                 pid = np.array([i for i, _ in own], np.int64)
                 score = np.round(q @ _unit(np.array([v for _, v in own], float)).T, 6)
+                score[np.isnan(score)] = -2
                 if exclude_self:
                     score[qid[:, None] == pid[None, :]] = -2
                 score[score <= (-1.5 if threshold is None else threshold)] = -2

@@ -87,3 +87,11 @@ def test_fixed_chunks_overlap(spark):
 def test_question_set(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text(json.dumps({"id": "a", "type": "exact", "question": "q", "expected": [{"document": "d", "section": None}]}) + "\n\n")
     assert [r.expected[0].document for r in question_set(spark, str(tmp_path / "q.jsonl")).collect()] == ["d"]
+
+
+def test_zero_vectors_take_no_place(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id long, vector array<double>")
+    rows = [(10 + i, [0.0, 0.0]) for i in range(4)] + [(20 + i, [1.0, float(i)]) for i in range(4)]
+    points = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    got = rt.dense(q, points, 3).collect()
+    assert sorted((r.query_id, r.rank, r.id) for r in got) == [(1, 1, 20), (1, 2, 21), (1, 3, 22)]
