@@ -45,7 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executors, and gives the planner the true size."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more, not even to make anew what a lost executor held."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def filtered(df: DataFrame, condition: Column | str) -> DataFrame:
@@ -109,19 +119,61 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+#: Bytes that word_spans takes at once, about: it works in slices that end with a word.
+SLICE = 1 << 18
+
+
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, in order, and where it starts and ends. The hash is a polynomial over the bytes, read
+    off one running sum, so that the work is a few array operations for many words. Memory is bounded by slices and
+    the longest word."""
+    whole = np.frombuffer(text, np.uint8)
+    parts, at = [], 0
+    while at < len(whole):
+        stop = min(len(whole), at + SLICE)
+        if stop < len(whole):
+            rest, step = stop, 4096
+            while rest < len(whole):
+                ahead = whole[rest : rest + step]
+                gaps = np.flatnonzero((ahead == 32) | ((ahead >= 9) & (ahead <= 13)))
+                if len(gaps):
+                    rest += int(gaps[0])
+                    break
+                rest, step = rest + step, 2 * step
+            stop = min(rest, len(whole))
+        b = whole[at:stop]
+        inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        start, end = edge[::2], edge[1::2]
+        up, down = _powers(len(b))
+        total = np.zeros(len(b) + 1, _U)
+        np.cumsum(_BYTE[b] * up, out=total[1:])
+        parts.append((mix((total[end] - total[start]) * down[start] + (end - start).astype(_U)), start + at, end + at))
+        at = stop
+    if len(parts) == 1:
+        return parts[0]
+    if not parts:
+        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order: a polynomial over the bytes, read off one running sum, so
-    that the work is a few array operations for the whole text."""
-    b = np.frombuffer(text, np.uint8)
-    if not len(b):
-        return np.empty(0, _U)
-    inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
-    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(b))
-    total = np.zeros(len(b) + 1, _U)
-    np.cumsum(_BYTE[b] * up, out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
+    """A 64-bit hash of each word, in order."""
+    return word_spans(text)[0]
+
+
+def slices(batch, column: int | str, rows: int, most: int):
+    """(part of the batch, its texts as bytes): of at most ``rows`` rows and, beyond one text, ``most`` bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = batch.column(column).cast(pa.large_binary())
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        end = at + max(1, int(np.searchsorted(np.cumsum(size[at : at + rows]), most, "right")))
+        yield batch.slice(at, end - at), [x or b"" for x in texts.slice(at, end - at).to_pylist()]
+        at = end
 
 
 def as_bytes(column) -> list[bytes]:
@@ -131,6 +183,21 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batch, column: int | str, rows: int, most: int):
+    """(part of the batch, its texts as bytes): of at most ``rows`` rows and, beyond one text, ``most`` bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = batch.column(column).cast(pa.large_binary())
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        end = at + max(1, int(np.searchsorted(np.cumsum(size[at : at + rows]), most, "right")))
+        end = min(end, at + rows, batch.num_rows)
+        yield batch.slice(at, end - at), [x or b"" for x in texts.slice(at, end - at).to_pylist()]
+        at = end
+
+
 def count_sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and how often each occurs. Sorts in place."""
     if not len(keys):
