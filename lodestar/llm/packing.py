@@ -20,23 +20,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, gives_back, stored, table
+from .common import gives_back, slices, stored, table, word_spans
 
 CAPACITY = 2048
-#: Words whose ids a Python worker remembers; it starts anew beyond that. No result depends on it.
-CACHE_WORDS = 600_000
+#: Words, and token ids of them, that a Python worker remembers; it starts anew beyond. No result depends on them.
+CACHE_WORDS, CACHE_IDS = 1_000_000, 5_000_000
+#: Texts, and bytes of them beyond one text, that are taken apart at once.
+TEXTS, TEXT_BYTES = 512, 1 << 18
+#: Signs that never join a letter or digit before them in one token (fixed values; the apostrophe may).
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_U = np.uint64
 #: Pieces of one length that are ranked together, about.
 RANK_ROWS = 256
 
 
 class WordTokens:
-    """Token ids of texts, as little-endian unsigned 32-bit integers, through a cache of words.
+    """Token ids of texts, through a table of words by their 64-bit hashes.
 
     Right for tokenizers that drop white space, ignore case and mark word ends, as word_bpe_49k.json does: no id of theirs
-    depends on a neighbouring word, nor on the case of A-Z. Texts with special tokens' signs keep their case.
+    depends on a neighbouring word, nor on the case of A-Z. Texts with special tokens' signs are encoded as they are.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_ids: int = CACHE_IDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -44,52 +49,83 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.whole: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-        self.limit = cache_words
+        self.limits = cache_words, cache_ids
+        self.forget()
+
+    def forget(self) -> None:
+        #: The words' hashes, ascending, with their numbers; word n's ids stand in ``pool`` from ``first[n]`` to ``first[n + 1]``.
+        self.keys, self.number = np.empty(0, _U), np.empty(0, np.int32)
+        self.first, self.pool, self.used = np.zeros(1 << 12, np.int32), np.empty(1 << 14, "<u4"), 0
 
     @staticmethod
     def _one_word(x: bytes) -> bool:
         t = x.decode("utf-8", "replace")
         return t.isalpha() and t.lower().isalpha() and unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", t.lower())
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self._learn(set().union(*split))
-        return [b"".join(map(self.whole.__getitem__, found)) for found in split]
-
-    def _learn(self, found: set[bytes]) -> None:
-        if len(self.whole) > self.limit:
-            self.whole.clear()
-        if len(self.cores) > self.limit:
-            self.cores.clear()
-        parts, new = [], set()
-        for w in found:
-            if w in self.whole:
-                continue
-            core, end = (w if b"<|" in w else w.lower()), b""
-            if len(core) > 1 and core[-1] in b",." and 97 <= core[-2] <= 122:
-                core, end = core[:-1], core[-1:]
-            parts.append((w, core, end))
-            new.add(core)
-            if end:
-                new.add(end)
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.keys) > self.limits[0] or self.used > self.limits[1]:
+            self.forget()
+        special = {i: np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4") for i, t in enumerate(texts) if b"<|" in t}
+        texts = [b"" if i in special else t for i, t in enumerate(texts)]
+        data = b" ".join(texts).lower()
+        keys, first, last = word_spans(data)
+        number = self._numbers(keys)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            own, at, again = np.unique(keys[new], return_index=True, return_inverse=True)
+            number[new] = len(self.keys) + again
+            self._learn(own, [data[a:b] for a, b in zip(first[new[at]].tolist(), last[new[at]].tolist(), strict=True)])
+        start = self.first[number]
+        size = self.first[number + 1] - start
+        ends = np.cumsum(size, dtype=np.int64)
+        flat = self.pool[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        words = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts]))
+        cut = np.concatenate(([0], ends))[words].tolist()
+        return [special[i] if i in special else flat[a:b] for i, (a, b) in enumerate(zip([0, *cut], cut, strict=False))]
+
+    def _numbers(self, keys: np.ndarray) -> np.ndarray:
+        """The words' numbers; -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.number[at], -1)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        parts, known = [], {}
+        for w in words:
+            core = w.rstrip(_SIGNS)
+            if len(core) == len(w) or not core or not (core[-1:].isalnum() or core[-1] > 127 and core.decode("utf-8", "replace")[-1].lower()[-1].isalpha()):
+                core = w
+            end = w[len(core) :]
+            parts.append((core, end))
+            known[core] = known[end] = b""
+        known.pop(b"", None)
         plain, other = [], []
-        for x in new:
-            if x not in self.cores:
-                (plain if x.isalpha() and x.isascii() or self._one_word(x) else other).append(x)
-        if plain:
+        for x in known:
+            (plain if x.isalpha() and x.isascii() or self._one_word(x) else other).append(x)
+        for at in range(0, len(plain), 4096):
             # letters only: a word is one run of tokens, the last of which is a word's end
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            part = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             blob, begin = ids.tobytes(), 0
-            for x, stop in zip(plain, (4 * stops).tolist(), strict=True):
-                self.cores[x] = blob[begin:stop]
+            for x, stop in zip(part, stops, strict=True):
+                known[x] = blob[begin:stop]
                 begin = stop
-        for x, got in zip(other, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in other], add_special_tokens=False), strict=True):
-            self.cores[x] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        for w, core, end in parts:
-            self.whole[w] = self.cores[core] + self.cores[end] if end else self.cores[core]
+        if other:
+            for x, got in zip(other, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in other], add_special_tokens=False), strict=True):
+                known[x] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+        blobs = [known[core] + known[end] if end else known[core] for core, end in parts]
+        flat = np.frombuffer(b"".join(blobs), "<u4")
+        have, used = len(self.keys), self.used + len(flat)
+        if used > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(flat), self.used), "<u4")])
+        if have + len(keys) >= len(self.first):
+            self.first = np.concatenate([self.first[: have + 1], np.zeros(max(len(keys), have) + 1, np.int32)])
+        self.pool[self.used : used] = flat
+        self.first[have + 1 : have + len(keys) + 1] = self.used + np.cumsum([len(x) // 4 for x in blobs])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.number, self.used = np.insert(self.keys, at, keys), np.insert(self.number, at, np.arange(have, have + len(keys))), used
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -103,13 +139,12 @@ def _tokens(path: str) -> WordTokens:
 
 @gives_back
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    tokens, end = _tokens(path), struct.pack("<I", end_id)
+    tokens, end = _tokens(path), np.array([end_id], "<u4")
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for part, texts in slices(batch, 1, TEXTS, TEXT_BYTES):
             rows: list[list] = [[] for _ in range(6)]
-            for doc_id, ids in zip(part.column(0).to_pylist(), tokens.ids(as_bytes(part.column(1))), strict=True):
-                blob = ids + end
+            for doc_id, ids in zip(part.column(0).to_pylist(), tokens.ids(texts), strict=True):
+                blob = np.concatenate((ids, end)).tobytes()
                 for piece, start in enumerate(range(0, len(blob), 4 * capacity)):
                     own = blob[start : start + 4 * capacity]
                     for column, value in zip(rows, (doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own), own), strict=True):

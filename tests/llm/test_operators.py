@@ -111,14 +111,57 @@ def test_jaccard_join(spark, rows):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == brute_links(rows)
 
 
-def test_jaccard_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+def test_jaccard_in_small_tiles_with_a_small_filter(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 64)
     monkeypatch.setattr(jaccard, "TILE", 3)
     rows = family(40)
     got = jaccard.jaccard_join(docs(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in got) == brute_links(rows)
 
 
+def test_shingle_sets_of_many_texts_are_those_of_each():
+    texts = [(t or "").encode() for _, t in [*TEXTS, *family(5)]]
+    flat, cut = jaccard.shingle_sets(texts)
+    assert np.diff(cut).tolist() == [len(shingles(t.decode())) for t in texts]
+    keys = list(zip(*(k.tolist() for k in jaccard.set_keys(flat, cut)), strict=True))
+    for i, t in enumerate(texts):
+        own, _ = jaccard.shingle_sets([t])
+        assert own.tolist() == flat[cut[i] : cut[i + 1]].tolist() == sorted(set(own.tolist()))
+        assert [keys[i] == k for k in keys] == [shingles(t.decode()) == shingles(x.decode()) for x in texts]
+
+
+def test_words_that_slices_cut(monkeypatch):
+    from lodestar.llm import common
+
+    text = ("ab cde\n " * 30 + "x" * 100 + " y").encode()
+    want = common.word_spans(text)
+    for size in (1, 7, 50):
+        monkeypatch.setattr(common, "SLICE", size)
+        assert all((a == b).all() for a, b in zip(common.word_spans(text), want, strict=True))
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_forest(same):
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        m = rng.random((9, 9)) < 0.12
+        if same:
+            m = (m | m.T) & ~np.eye(9, dtype=bool)
+        name = (lambda side, i: i) if same else (lambda side, i: (side, i))
+        edges = [(name(0, i), name(1, j)) for i, j in zip(*np.nonzero(m))]
+        kept = [(name(0, i), name(s, j)) for i, both in jaccard.forest(m, same) for s, own in enumerate(both) for j in own.tolist()]
+
+        def parts(edges):
+            sets = [set(e) for e in edges]
+            out = []
+            for e in sets:
+                touch = [x for x in out if x & e]
+                out = [x for x in out if not x & e] + [set().union(e, *touch)]
+            return sorted(map(sorted, out), key=str)
+
+        assert parts(edges) == parts(kept) and len(kept) == sum(len(x) - 1 for x in parts(kept))
+
+
 def test_one_row_stays_of_each_group(spark):
     import corpus_pipeline
 
@@ -196,6 +239,16 @@ def test_packing(spark):
     assert packing.best_fit_packing(docs(spark, []), packing.word_tokenizer()).count() == 0
 
 
+def test_word_tokens_are_the_tokenizers():
+    rng = np.random.default_rng(4)
+    signs = [*"abzAÉé'sßſİıμ,.!?-_<|>*$ 12½²٣中文\u0327\u0301ñ…€™ﬁ\u200b\xa0", "😀", "'s", "'re", "  ", "<|endoftext|>", "\x1c"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 30)))).encode() for _ in range(4000)] + [b"long" * 3000 + b"!!!"]
+    tokens = packing.WordTokens(packing.word_tokenizer(), 500, 2000)
+    for at in range(0, len(texts), 100):
+        for text, ids in zip(texts[at : at + 100], tokens.ids(texts[at : at + 100]), strict=True):
+            assert ids.tolist() == tokens.tokenizer.encode(text.decode(), add_special_tokens=False).ids, text
+
+
 def test_plan_is_best_fit_decreasing():
     rng = np.random.default_rng(3)
     for _ in range(200):
