@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import token_estimate
+from lodestar.functions.text import CJK, token_estimate
 
 
 def log_window(log: DataFrame, since: str, until: str, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -31,11 +31,59 @@ def nearest_rank(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.count(value).alias("n"))
 
 
-def recall_report(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10, 20)) -> DataFrame:
-    """Recall@K and MRR over all and by type: ranks (query_id, type, rank null for a miss)."""
+def stage_percentiles(log: DataFrame, stages: dict[str, str], total: str = "total") -> DataFrame:
+    """(stage, p50, p95, n) of each stage's column and of their sum, in which a missing stage is 0; nulls are skipped
+    elsewhere. One pass: stages become rows before they are grouped."""
+    sums = sum((F.coalesce(F.col(c), F.lit(0)) for c in stages.values()), F.lit(0))
+    parts = F.array(*(F.struct(F.lit(k).alias("stage"), F.col(c).cast("double").alias("ms")) for k, c in stages.items()), F.struct(F.lit(total).alias("stage"), sums.cast("double").alias("ms")))
+    return nearest_rank(log.select(F.inline(parts)), "stage", "ms")
+
+
+def recall_report(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10, 20), skip: tuple[str, ...] = ("no_answer",)) -> DataFrame:
+    """Recall@K and MRR over ``all`` answerable questions and by type: ranks (query_id, type, rank null for a miss). Questions
+    of the types in ``skip`` have nothing to find and are left out; without others there are no rows but none for ``all``."""
+    d = ranks.filter(F.col("type").isNull() | ~F.col("type").isin(*skip)) if skip else ranks
     recalls = [F.round(F.avg((F.coalesce("rank", F.lit(1 << 30)) <= k).cast("double")), 6).alias(f"recall_{k}") for k in ks]
     mrr = F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr")
-    return ranks.rollup("type").agg(F.count(F.lit(1)).alias("n"), *recalls, mrr).withColumn("type", F.coalesce("type", F.lit("all")))
+    out = d.rollup("type").agg(F.grouping("type").alias("_all"), F.count(F.lit(1)).alias("n"), *recalls, mrr)
+    return out.withColumn("type", F.when(F.col("_all") == 1, "all").otherwise(F.col("type"))).drop("_all")
+
+
+def threshold_confusion(questions: DataFrame) -> DataFrame:
+    """One row of counts: no_answer rejected, answerable passed, and errors of either kind. questions (type, has_candidates);
+    those without a verdict (null) count nowhere."""
+    empty, open_ = F.col("type") == "no_answer", F.col("has_candidates")
+    return questions.agg(
+        F.count_if(empty & ~open_).alias("no_answer_rejected"), F.count_if(empty & open_.isNotNull()).alias("no_answer"), F.count_if(~empty & open_).alias("answerable_passed"),
+        F.count_if(~empty & open_.isNotNull()).alias("answerable"), F.count_if(open_ == empty).alias("errors"))
+
+
+def token_ratios(probes: DataFrame, key: str | None = None) -> DataFrame:
+    """Actual tokens per character and per estimated token, over all rows or by key: probes (chars, estimated, actual)."""
+    ratio = lambda a, b: F.round(F.try_divide(F.sum(a).cast("double"), F.sum(b).cast("double")), 6)
+    columns = [ratio("actual", "chars").alias("per_char"), ratio("actual", "estimated").alias("per_estimate")]
+    return (probes.groupBy(key) if key else probes).agg(*columns)
+
+
+def answer_summary(results: DataFrame) -> DataFrame:
+    """By type: results (type, passed, blocked, truncated, failed, tokens, ms) as counts and means."""
+    counts = [F.count_if(F.col(c)).alias(f"n_{c}") for c in ("passed", "blocked", "truncated", "failed")]
+    return results.groupBy("type").agg(F.count(F.lit(1)).alias("n"), *counts, F.round(F.avg("tokens"), 6).alias("avg_tokens"), F.round(F.avg("ms"), 6).alias("avg_ms"))
+
+
+def degraded_latency(log: DataFrame, key: str) -> DataFrame:
+    """By key: p50 and p95 of rerank_ms over reranked rows only, and how many rows were degraded."""
+    p = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY CASE WHEN reranked THEN rerank_ms END)")
+    return log.groupBy(key).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.count_if("reranked").alias("n_reranked"), F.count_if("degraded").alias("n_degraded"))
+
+
+def message_faults(messages: DataFrame) -> DataFrame:
+    """(conv_id, fault): blank (a message without text), late_system (a system message behind another role), last_not_user,
+    or ok; the first that holds. Conversations are reduced by partial aggregates; none is gathered."""
+    other = F.col("role") != "system"
+    d = messages.groupBy("conv_id").agg(
+        F.max(F.btrim(F.coalesce("text", F.lit(""))) == "").alias("blank"), F.min(F.when(other, F.col("turn"))).alias("first"), F.max(F.when(~other, F.col("turn"))).alias("system"), F.max_by("role", "turn").alias("last"))
+    return d.select("conv_id", F.when(F.col("blank"), "blank").when(F.col("system") > F.col("first"), "late_system").when(F.col("last") != "user", "last_not_user").otherwise("ok").alias("fault"))
 
 
 def turns(messages: DataFrame) -> DataFrame:
@@ -71,13 +119,14 @@ def context_blocks(hits: DataFrame, budget: int = 6000) -> DataFrame:
 
 
 def fixed_chunks(docs: DataFrame, size: int = 2000, stride: int = 1700) -> DataFrame:
-    """Fixed windows over texts without wide characters: 600 tokens at 0.3 a character, 90 of overlap. A chunk exists if
-    it is the first or the one before it stops short of the end. White space at the ends is trimmed."""
+    """Fixed windows over texts without wide characters, natively: 600 tokens at 0.3 a character, 90 of overlap. A chunk
+    exists if it is the first or the one before it stops short of the end; white space at its ends is trimmed, and blank
+    chunks have no number. Texts with wide characters cost other tokens; chunking.chunk_documents cuts those."""
     n = F.length("text")
     last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(stride))).cast("int")
-    d = docs.filter("text is not null").select("doc_id", "text", F.posexplode(F.sequence(F.lit(0), last)).alias("chunk_index", "_i"))
-    d = d.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.btrim(F.substring(F.col("text"), F.col("_i") * stride + 1, F.lit(size)), F.lit(" \t\n\r\0\x0b")).alias("content"))
-    return d.filter("content <> ''")
+    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.btrim(F.substring(F.col("text"), i * stride + 1, F.lit(size)), F.lit(" \t\n\r\0\x0b")))
+    d = docs.filter(F.col("text").isNotNull() & ~F.col("text").rlike(CJK)).select("doc_id", F.posexplode(F.filter(windows, lambda x: x != "")).alias("i", "content"))
+    return d.select("doc_id", F.col("i").cast("long").alias("chunk_index"), "content")
 
 
 def chunk_stats(chunks: DataFrame, limit: int = 600) -> DataFrame:
@@ -97,7 +146,8 @@ def same_hash(docs: DataFrame) -> DataFrame:
     return d.groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
-def scanned_guard(docs: DataFrame, least: int = 20) -> DataFrame:
-    """Documents with fewer characters other than white space than a text page would have."""
-    n = F.length(F.regexp_replace("text", r"[ \t\n\x0B\f\r]", ""))
-    return docs.select("doc_id", n.cast("long").alias("n_visible"), (n < least).alias("rejected"))
+def scanned_guard(pages: DataFrame, least: int = 20, key: str = "doc_id") -> DataFrame:
+    """Documents whose pages have fewer characters other than white space, on average, than pages of text would."""
+    n = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]", ""))
+    d = pages.groupBy(key).agg(F.avg(n).alias("mean"))
+    return d.select(key, F.round("mean", 6).alias("mean_visible"), (F.col("mean") < least).alias("rejected"))

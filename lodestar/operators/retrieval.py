@@ -1,6 +1,7 @@
 """Retrieval for batches of questions: dense, keyword and exact lists, rank fusion, gate and rerank.
 
-Every list is a frame (query_id, id, score, rank). Nothing is collected but the query vectors, whose number is checked.
+Every list is a frame (query_id, id, score, rank). Questions are taken in blocks of a fixed number, which are broadcast one
+after the other; the collection is never collected, and each of its Arrow batches sends on a question's k best only.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import bigrams, search_text
+from lodestar.functions.text import search_text
 
 RRF_K, CANDIDATES = 60, 20
-#: Query vectors that one pass over the collection holds in memory; more take several passes.
-QUERY_BLOCK = 4096
+#: Questions that one pass over the collection holds in memory, with vectors and with pairs; more take several passes.
+QUERY_BLOCK, PAIR_BLOCK = 4096, 256
+#: Digits that scores are ranked by: beyond them, sums of equal terms in another order differ.
+DIGITS = 12
 
 
 def ranked(df: DataFrame, k: int | None = None, order: Column | None = None) -> DataFrame:
@@ -26,42 +29,76 @@ def ranked(df: DataFrame, k: int | None = None, order: Column | None = None) ->
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[list[dict]]:
+    """The questions in blocks of at most ``size``; an iterator over partitions, so that the driver holds one of them."""
+    rows = []
+    for row in queries.toLocalIterator():
+        rows.append(row.asDict())
+        if len(rows) == size:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of each row's k best finite scores; ties at the border are kept whole, since ranks by id are
+    settled afterwards."""
+    cut = np.partition(score, score.shape[1] - k, 1)[:, score.shape[1] - k][:, None] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
+    return np.nonzero((score >= cut) & (score > -np.inf))
+
+
+def _vectors(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, matrix) of the vectors that have the most usual length of the batch."""
+    size = np.diff(column.offsets.to_numpy())
+    size[column.is_null().to_numpy(zero_copy_only=False)] = -1
+    full = size[size > 0]
+    if not len(full):
+        return np.empty(0, np.int64), np.empty((0, 0))
+    width = int(np.bincount(full).argmax())
+    at = np.flatnonzero(size == width)
+    first = column.offsets.to_numpy()[:-1][at]
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return at, flat[first[:, None] + np.arange(width)].astype(float)
+
+
 def dense(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, threshold: float | None = None, exclude_self: bool = True) -> DataFrame:
-    """(query_id, id, score, rank): the k points of highest cosine, strictly above the threshold.
+    """(query_id, id, score, rank): the k points of highest cosine, strictly above the threshold; score is rounded to six
+    digits for output only.
 
-    queries (query_id, vector), points (id, vector). Query vectors are taken in blocks; each Arrow batch of points is
-    multiplied by a block and sends on its own k best, so a query's list is reduced before it is shuffled. Vectors
-    of another length than the first query's, or of norm 0, match nothing.
+    queries (query_id, vector), points (id, vector). Each Arrow batch of points is multiplied by a block of questions and
+    sends on its own k best, so a question's list is reduced before it is shuffled. Vectors of another length than the
+    first question's, of norm 0, or that hold nulls match nothing.
     """
-    rows = queries.select("query_id", "vector").toArrow()
-    ids, vectors = rows.column("query_id").to_pylist(), rows.column("vector").to_pylist()
-    size = len(vectors[0]) if vectors else 0
-    spark, parts = points.sparkSession, []
-    for at in range(0, max(1, len(ids)), QUERY_BLOCK):
-        block = spark.sparkContext.broadcast((np.array(ids[at : at + QUERY_BLOCK], np.int64), _unit(np.array(vectors[at : at + QUERY_BLOCK], float).reshape(-1, size))))
+    spark, parts, size = points.sparkSession, [], None
+    for rows in _blocks(queries.select("query_id", "vector").filter("vector IS NOT NULL")):
+        size = len(rows[0]["vector"]) if size is None else size
+        rows = [r for r in rows if len(r["vector"]) == size and None not in r["vector"]]
+        block = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), _unit(np.array([r["vector"] for r in rows], float).reshape(len(rows), size))))
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             qid, q = block.value
             for batch in batches:
-                own = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
-                if not own or not len(qid):
+                at, m = _vectors(batch.column(1))
+                if not len(at) or m.shape[1] != q.shape[1] or not len(qid):
                     continue
-                pid = np.array([i for i, _ in own], np.int64)
-                score = np.round(q @ _unit(np.array([v for _, v in own], float)).T, 6)
-                score[np.isnan(score)] = -2
+                pid = batch.column(0).to_numpy()[at]
+                score = np.round(q @ _unit(m).T, DIGITS)
+                score[np.isnan(score)] = -np.inf
                 if exclude_self:
-                    score[qid[:, None] == pid[None, :]] = -2
-                score[score <= (-1.5 if threshold is None else threshold)] = -2
-                # ties at a batch's border are kept whole: the rank by id is settled afterwards
-                cut = np.sort(score, 1)[:, -k][:, None] if score.shape[1] > k else np.full((len(qid), 1), -1.5)
-                r, c = np.nonzero((score >= cut) & (score > -1.5))
+                    score[qid[:, None] == pid[None, :]] = -np.inf
+                if threshold is not None:
+                    score[score <= threshold] = -np.inf
+                r, c = _best(score, k)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(pid[c]), pa.array(score[r, c])], ["query_id", "id", "score"])
 
-        parts.append(points.select("id", "vector").mapInArrow(search, "query_id long, id long, score double"))
+        parts.append(points.select(F.col("id").cast("long").alias("id"), "vector").filter("id IS NOT NULL").mapInArrow(search, "query_id long, id long, score double"))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank long")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return ranked(out, k)
+    return ranked(out, k).withColumn("score", F.round("score", 6))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -69,32 +106,106 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
 
 
+def _pairs(text: str) -> np.ndarray:
+    """All overlapping pairs of characters as numbers."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return (codes[:-1] << 21) | codes[1:]
+
+
+def _pair_counts(texts: list[str], known: np.ndarray) -> np.ndarray:
+    """(texts, known pairs) counts; known is sorted."""
+    found = [_pairs(t) for t in texts]
+    flat, row = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+    if not len(known) or not len(flat):
+        return np.zeros((len(texts), len(known)))
+    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    hit = known[at] == flat
+    return np.bincount(row[hit] * len(known) + at[hit], minlength=len(texts) * len(known)).reshape(len(texts), len(known)).astype(float)
+
+
 def keyword(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """(query_id, id, score, rank) by tf-idf over character pairs: sum of tf x ln(1 + N / df) over a query's distinct
-    pairs. Only pairs that some query holds become postings; they are counted before the shuffle."""
-    q = queries.select("query_id", F.explode(F.array_distinct(bigrams(search_text(F.col("text"))))).alias("gram"))
-    asked = q.select("gram").distinct()
-    c = chunks.select("id", F.explode(bigrams(search_text(F.col("text")))).alias("gram"))
-    postings = c.join(asked, "gram", "left_semi").groupBy("gram", "id").agg(F.count(F.lit(1)).alias("tf"))
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))
-    weights = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("gram", F.log(1 + F.col("n") / F.col("df")).alias("w"))
-    scored = postings.join(weights, "gram").join(q, "gram").groupBy("query_id", "id").agg(F.round(F.sum(F.col("tf") * F.col("w")), 4).alias("score"))
-    return ranked(scored, k)
+    """(query_id, id, score, rank) by tf-idf over character pairs: sum of tf x ln(1 + N / df) over a question's distinct pairs;
+    score is rounded to four digits for output only.
+
+    Document frequencies are counted in tasks and summed, one row for each distinct pair that some question has. Then each
+    batch of texts, as counts of pairs, is multiplied by a block of questions, and sends on each question's k best. Texts
+    are read twice and never shuffled. Null ids and texts match nothing.
+    """
+    spark = chunks.sparkSession
+    texts = chunks.select(F.col("id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL").select("id", search_text(F.col("text")).alias("t"))
+    n = chunks.count()
+    parts = []
+    for rows in _blocks(queries.filter("text IS NOT NULL").select("query_id", search_text(F.col("text")).alias("t")), PAIR_BLOCK):
+        asked = [np.unique(_pairs(r["t"])) for r in rows]
+        pairs = np.unique(np.concatenate(asked))
+        shared = spark.sparkContext.broadcast(pairs)
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            df = np.zeros(len(shared.value), np.int64)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 64):
+                    df += (_pair_counts(batch.column(0).slice(start, 64).to_pylist(), shared.value) > 0).sum(0)
+            at = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["pair", "n"])
+
+        found = texts.select("t").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+        weight = np.zeros(len(pairs))
+        weight[[r["pair"] for r in found]] = np.log(1 + n / np.array([r["n"] for r in found], float)) if found else 0
+        block = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), [np.searchsorted(pairs, own) for own in asked], weight))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, block=block) -> Iterator[pa.RecordBatch]:
+            (qid, asked, weight), known = block.value, shared.value
+            q = np.zeros((len(qid), len(known)))
+            for i, own in enumerate(asked):
+                q[i, own] = weight[own]
+            for batch in batches:
+                for start in range(0, batch.num_rows, 64):
+                    part = batch.slice(start, 64)
+                    tf = _pair_counts(part.column(1).to_pylist(), known)
+                    score = q @ tf.T
+                    score = np.round(score, 9)  # sums in another order differ beyond that
+                    score[score <= 0] = -np.inf
+                    r, c = _best(score, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(part.column(0).to_numpy()[c]), pa.array(score[r, c])], ["query_id", "id", "score"])
+
+        parts.append(texts.mapInArrow(search, "query_id long, id long, score double"))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank long")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return ranked(out, k).withColumn("score", F.round("score", 4))
 
 
 def exact(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, id): chunks that contain a query's whole search text. Words 2 to 6 of the query, or else its first
-    pair of characters, are looked up first, so that only likely chunks are compared."""
-    words = lambda t: F.split(t, " ")
-    q = queries.select("query_id", search_text(F.col("text")).alias("needle")).filter("needle <> ''")
-    q = q.withColumn("anchor", F.when(F.size(words(F.col("needle"))) >= 7, F.xxhash64(F.slice(words(F.col("needle")), 2, 5))))
-    c = chunks.select("id", search_text(F.col("text")).alias("hay")).withColumn("w", words(F.col("hay")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 5)))
-    near = c.select("id", F.explode(F.array_distinct(grams)).alias("anchor")).join(q.filter("anchor is not null").select("anchor", "query_id", "needle"), "anchor").select("id", "query_id", "needle")
-    long = near.join(c.select("id", "hay"), "id").filter(F.contains("hay", "needle"))
-    short = q.filter("anchor is null").select("query_id", "needle", F.substring("needle", 1, 2).alias("pair"))
-    pairs = c.select("id", F.explode(F.array_distinct(bigrams(F.col("hay")))).alias("pair")).join(short, "pair").join(c.select("id", "hay"), "id").filter(F.contains("hay", "needle"))
-    return long.select("query_id", "id").unionByName(pairs.select("query_id", "id")).distinct()
+    """(query_id, id): chunks that contain a question's whole search text. Texts stay where they are: each is searched for a
+    block's needles in place, and only hits are sent. Empty and null questions match nothing."""
+    spark, parts = chunks.sparkSession, []
+    texts = chunks.select(F.col("id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL").select("id", search_text(F.col("text")).alias("t"))
+    for rows in _blocks(queries.select("query_id", search_text(F.col("text")).alias("t")).filter("t <> ''")):
+        needles: dict[str, list[int]] = {}
+        for r in rows:
+            needles.setdefault(r["t"], []).append(r["query_id"])
+        shared = spark.sparkContext.broadcast(list(needles.items()))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                q, p = [], []
+                for pid, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for needle, ids in known:
+                        if needle in t:
+                            q += ids
+                            p += [pid] * len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(p, pa.int64())], ["query_id", "id"])
+
+        parts.append(texts.mapInArrow(search, "query_id long, id long"))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, id long")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -106,7 +217,7 @@ def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     for p in parts[1:]:
         union = union.unionByName(p)
     return union.groupBy("query_id", "id").agg(
-        F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"), F.min(F.struct("list", "rank")).alias("first"), F.collect_set("list").alias("lists"), F.max("s").alias("dense_score")
+        F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.min(F.struct("list", "rank")).alias("first"), F.collect_set("list").alias("lists"), F.max("s").alias("dense_score")
     )
 
 

@@ -47,7 +47,7 @@ def _questions(spark, d):
 
 _COS = """
 v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-cs AS (SELECT q.id AS query_id, p.id, round(list_cosine_similarity(q.e, p.e), 6) AS score FROM v q JOIN v p ON q.id <> p.id WHERE q.id % 100 = 0),
+cs AS (SELECT q.id AS query_id, p.id, round(list_cosine_similarity(q.e, p.e), 12) AS score FROM v q JOIN v p ON q.id <> p.id WHERE q.id % 100 = 0),
 dn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs{where} QUALIFY rank <= 20)"""
 _ST = r"regexp_replace(lower(trim(regexp_replace({t}, '[\s\x0b]+', ' ', 'g'))), '([a-z0-9])[-_]([a-z0-9])', '\1\2', 'g')"
 _NORM = "regexp_replace(" + _ST + r", '([a-z0-9])[-_]([a-z0-9])', '\1\2', 'g')"
@@ -58,32 +58,32 @@ qg AS MATERIALIZED (SELECT DISTINCT query_id, substring(t, CAST(i AS BIGINT), 2)
 dg AS (SELECT id, substring(t, CAST(i AS BIGINT), 2) AS gram FROM dt, unnest(range(1, length(t))) AS u(i)),
 po AS MATERIALIZED (SELECT gram, id, count(*) AS tf FROM dg WHERE gram IN (SELECT gram FROM qg) GROUP BY ALL),
 we AS (SELECT gram, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS w FROM po GROUP BY gram),
-ks AS (SELECT query_id, id, round(sum(tf * w), 4) AS score FROM po JOIN we USING (gram) JOIN qg USING (gram) GROUP BY ALL),
+ks AS (SELECT query_id, id, round(sum(tf * w), 9) AS score FROM po JOIN we USING (gram) JOIN qg USING (gram) GROUP BY ALL),
 kw AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ks QUALIFY rank <= 20)"""
 _EXA = """
 ex AS MATERIALIZED (SELECT query_id, id, 1.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM qt JOIN dt ON contains(dt.t, qt.t) WHERE qt.t <> '')"""
 _FUSE = """
-un AS (SELECT query_id, id, rank, score, 0 AS list FROM dn UNION ALL SELECT query_id, id, rank, NULL, 1 FROM kw UNION ALL SELECT query_id, id, rank, NULL, 2 FROM ex),
-fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000000 + rank) AS first, bool_or(list <> 1) AS strong, max(score) AS dense_score FROM un GROUP BY ALL),
+un AS (SELECT query_id, id, rank, round(score, 6) AS score, 0 AS list FROM dn UNION ALL SELECT query_id, id, rank, NULL, 1 FROM kw UNION ALL SELECT query_id, id, rank, NULL, 2 FROM ex),
+fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list * 1000000 + rank) AS first, bool_or(list <> 1) AS strong, max(score) AS dense_score FROM un GROUP BY ALL),
 ga AS (SELECT *, bool_or(strong) OVER (PARTITION BY query_id) AS open FROM fu)"""
 
 
-@query(f"WITH {_COS.format(where='')} SELECT query_id, id, score, rank FROM dn")
+@query(f"WITH {_COS.format(where='')} SELECT query_id, id, round(score, 6) AS score, rank FROM dn")
 def dense_topk(spark, d):
     return rt.dense(_query_vectors(spark, d), _points(spark, d))
 
 
-@query(f"WITH {_COS.format(where=f' WHERE score > {THRESHOLD}')} SELECT query_id, id, score, rank FROM dn")
+@query(f"WITH {_COS.format(where=f' WHERE score > {THRESHOLD}')} SELECT query_id, id, round(score, 6) AS score, rank FROM dn")
 def dense_threshold(spark, d):
     return rt.dense(_query_vectors(spark, d), _points(spark, d), threshold=THRESHOLD)
 
 
-@query(f"WITH {_COS.format(where='')} SELECT query_id, max(score) AS top1, max(score) > {THRESHOLD} AS passes FROM dn GROUP BY query_id")
+@query(f"WITH {_COS.format(where='')} SELECT query_id, round(max(score), 6) AS top1, max(score) > {THRESHOLD} AS passes FROM dn GROUP BY query_id")
 def unfiltered_top1(spark, d):
     return rt.dense(_query_vectors(spark, d), _points(spark, d), k=1).select("query_id", F.col("score").alias("top1"), (F.col("score") > THRESHOLD).alias("passes"))
 
 
-@query(f"WITH {_KEY} SELECT query_id, id, score, rank FROM kw")
+@query(f"WITH {_KEY} SELECT query_id, id, round(score, 4) AS score, rank FROM kw")
 def keyword_bigram_topk(spark, d):
     return rt.keyword(_questions(spark, d), _chunks(spark, d))
 
@@ -158,12 +158,12 @@ def first_hit_rank(spark, d):
     return _ranks(spark, d)
 
 
-@query(f"WITH {_RANKS} SELECT coalesce(type, 'all') AS type, count(*) AS n, {_RECALLS}, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM r GROUP BY GROUPING SETS ((), (type))")
+@query(f"WITH {_RANKS} SELECT CASE WHEN grouping(type) = 1 THEN 'all' ELSE type END AS type, count(*) AS n, {_RECALLS}, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM r WHERE type <> 'no_answer' GROUP BY GROUPING SETS ((), (type))")
 def recall_at_k(spark, d):
     return an.recall_report(_ranks(spark, d))
 
 
-@query(f"""WITH {_COS.format(where='')}, t AS (SELECT query_id, max(score) AS top1 FROM dn GROUP BY ALL)
+@query(f"""WITH {_COS.format(where='')}, t AS (SELECT query_id, round(max(score), 6) AS top1 FROM dn GROUP BY ALL)
 SELECT label, count(*) AS n, round(min(top1), 6) AS least, round(avg(top1), 6) AS mean, round(max(top1), 6) AS most, count(*) FILTER (top1 > {THRESHOLD}) AS passed FROM t JOIN embeddings ON vec_id = query_id GROUP BY label""")
 def top1_distribution(spark, d):
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
@@ -181,23 +181,26 @@ def search_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.search_text(F.col("text")).alias("search_text"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_distinct(list_filter(regexp_extract_all({_NORM.format(t='text')}, '[a-z0-9]{{3,}}'), lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]'))), ' ') <> '' AS has_code, CAST(len(list_distinct(list_filter(regexp_extract_all({_NORM.format(t='text')}, '[a-z0-9]{{3,}}'), lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')))) AS BIGINT) AS n_codes FROM documents")
+@query(rf"""WITH t AS (SELECT doc_id, {_NORM.format(t='text')} AS t FROM documents),
+c AS (SELECT doc_id, list_concat(list_filter(regexp_extract_all(t, '[a-z0-9]{{3,}}'), lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')), regexp_extract_all(t, '[「『"“]([^」』"”]{{2,30}})[」』"”]', 1)) AS c FROM t)
+SELECT doc_id, array_to_string(list_sort(list_distinct(c)), ' ') AS terms FROM c""")
 def exact_term_extract(spark, d):
     terms = tx.exact_terms(tx.search_text(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", (F.size(terms) > 0).alias("has_code"), F.size(terms).cast("long").alias("n_codes"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(terms), " ").alias("terms"))
 
 
 _CHUNKS = r"""
 n AS (SELECT doc_id, text, CAST(unnest(range(0, greatest(0, CAST(ceil((length(text) - 2000) / 1700.0) AS BIGINT)) + 1)) AS BIGINT) AS chunk_index FROM documents WHERE text IS NOT NULL),
-ch AS (SELECT doc_id, chunk_index, trim(substring(text, chunk_index * 1700 + 1, 2000), chr(32) || chr(9) || chr(10) || chr(13) || chr(11)) AS content FROM n)"""
+ca AS (SELECT doc_id, chunk_index AS i, trim(substring(text, chunk_index * 1700 + 1, 2000), chr(32) || chr(9) || chr(10) || chr(13) || chr(11)) AS content FROM n),
+ch AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS chunk_index, content FROM ca WHERE content <> '')"""
 
 
-@query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, content FROM ch WHERE content <> ''")
+@query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, content FROM ch")
 def chunk_fixed(spark, d):
     return an.fixed_chunks(table(spark, d, "documents"))
 
 
-@query(f"WITH {_CHUNKS}, t AS (SELECT doc_id, CAST(ceil(length(content) * 0.3::DOUBLE) AS BIGINT) AS t FROM ch WHERE content <> '') SELECT doc_id, count(*) AS n, min(t) AS least, round(avg(t), 6) AS mean, max(t) AS most, count(*) FILTER (t > 600) AS over FROM t GROUP BY doc_id")
+@query(f"WITH {_CHUNKS}, t AS (SELECT doc_id, CAST(ceil(length(content) * 0.3::DOUBLE) AS BIGINT) AS t FROM ch) SELECT doc_id, count(*) AS n, min(t) AS least, round(avg(t), 6) AS mean, max(t) AS most, count(*) FILTER (t > 600) AS over FROM t GROUP BY doc_id")
 def chunk_stats(spark, d):
     return an.chunk_stats(an.fixed_chunks(table(spark, d, "documents")))
 
@@ -265,6 +268,6 @@ def log_window_filter(spark, d):
     return an.log_window(table(spark, d, "events"), "2024-01-05", "2024-01-12", ("error",)).select("event_id", "event_type", "value")
 
 
-@query(r"SELECT doc_id, CAST(length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) AS BIGINT) AS n_visible, length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) < 20 AS rejected FROM documents")
+@query(r"WITH c AS (SELECT conv_id, avg(length(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]', '', 'g'))) AS m FROM conversations GROUP BY conv_id) SELECT conv_id, round(m, 6) AS mean_visible, m < 60 AS rejected FROM c")
 def scanned_guard(spark, d):
-    return an.scanned_guard(table(spark, d, "documents"))
+    return an.scanned_guard(table(spark, d, "conversations"), 60, "conv_id")
