@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
+from lodestar.functions import answers as aw
 from lodestar.operators import analytics as an
+from lodestar.operators import catalog as ca
+from lodestar.operators import chunking as ch
+from lodestar.operators import citations as ci
 from lodestar.operators import retrieval as rt
 from lodestar.sources.tables import table
 
@@ -271,3 +275,267 @@ def log_window_filter(spark, d):
 @query(r"WITH c AS (SELECT conv_id, avg(length(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]', '', 'g'))) AS m FROM conversations GROUP BY conv_id) SELECT conv_id, round(m, 6) AS mean_visible, m < 60 AS rejected FROM c")
 def scanned_guard(spark, d):
     return an.scanned_guard(table(spark, d, "conversations"), 60, "conv_id")
+
+
+# The catalog: documents with the state that their label gives (quality 1: indexed, 0: failed, none: parsed); vectors by model.
+_CAT = "cat AS (SELECT doc_id AS document_id, text, CASE quality WHEN 1 THEN 'indexed' WHEN 0 THEN 'failed' ELSE 'parsed' END AS status_key FROM documents LEFT JOIN labels USING (doc_id))"
+
+
+def _catalog(spark, d):
+    status = F.when(F.col("quality") == 1, "indexed").when(F.col("quality") == 0, "failed").otherwise("parsed")
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("_id"), "quality")
+    docs = table(spark, d, "documents")
+    return docs.join(labels, docs["doc_id"] == F.col("_id"), "left").select(F.col("doc_id").alias("document_id"), "text", status.alias("status_key"))
+
+
+def _indexed_chunks(spark, d):
+    return an.fixed_chunks(table(spark, d, "documents")).withColumnRenamed("doc_id", "document_id")
+
+
+@query(f"WITH {_CAT}, {_CHUNKS} SELECT doc_id AS document_id, chunk_index FROM ch WHERE doc_id IN (SELECT document_id FROM cat WHERE status_key = 'indexed')")
+def eligible_chunks(spark, d):
+    return ca.eligible(_indexed_chunks(spark, d), _catalog(spark, d)).select("document_id", "chunk_index")
+
+
+@query(f"WITH {_CAT}, {_CHUNKS} SELECT document_id, chunk_index, status_key, CAST(length(cat.text) AS BIGINT) AS n_chars FROM ch JOIN cat ON document_id = doc_id WHERE status_key = 'indexed'")
+def chunks_with_documents(spark, d):
+    found = ca.with_documents(_indexed_chunks(spark, d), _catalog(spark, d))
+    return found.select("document_id", "chunk_index", "status_key", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query(f"WITH {_CAT}, {_CHUNKS} SELECT document_id, status_key FROM cat WHERE document_id IN (SELECT doc_id FROM ch WHERE chunk_index = 1)")
+def documents_having_chunks(spark, d):
+    return ca.having_chunks(_catalog(spark, d), _indexed_chunks(spark, d).filter("chunk_index = 1")).select("document_id", "status_key")
+
+
+@query(f"WITH {_CAT}, {_CHUNKS}, p AS (SELECT document_id, status_key FROM cat ORDER BY document_id DESC LIMIT 20 OFFSET 20) SELECT document_id, status_key, (SELECT count(*) FROM ch WHERE doc_id = document_id) AS n_chunks FROM p")
+def document_listing(spark, d):
+    return ca.listing(_catalog(spark, d).select("document_id", "status_key"), _indexed_chunks(spark, d), page=2)
+
+
+@query("SELECT label AS model, CAST(max(len(embedding)) AS BIGINT) AS dimension, count(*) AS points, CASE WHEN min(len(embedding)) = max(len(embedding)) THEN 'green' ELSE 'mixed' END AS status FROM embeddings GROUP BY label")
+def collection_catalog(spark, d):
+    return ca.collections(table(spark, d, "embeddings"), "label", "embedding")
+
+
+@query("SELECT count(*) AS n FROM embeddings WHERE label = 3")
+def filtered_count(spark, d):
+    return table(spark, d, "embeddings").filter("label = 3").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_COS.format(where='')}, m AS (SELECT dn.query_id, dn.id, dn.score, label FROM dn JOIN embeddings ON vec_id = dn.id WHERE dn.score > 0.2 + 0.01 * label)
+SELECT query_id, id, 'm' || label AS model, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m QUALIFY rank <= 5""")
+def model_threshold(spark, d):
+    e = table(spark, d, "embeddings")
+    model = F.concat(F.lit("m"), F.col("label").cast("string"))
+    hits = rt.dense(_query_vectors(spark, d), _points(spark, d)).drop("rank").join(e.select(F.col("vec_id").alias("id"), model.alias("model")), "id")
+    thresholds = e.select(F.concat(model, F.lit(":latest")).alias("model"), (0.2 + 0.01 * F.col("label")).alias("threshold")).distinct()
+    return ca.above_model_threshold(hits, thresholds, 5).select("query_id", "id", "model", "score", "rank")
+
+
+@query(f"WITH {_KEY}, k AS (SELECT kw.*, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS retrieval_rank FROM kw WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1) QUALIFY retrieval_rank <= 5) SELECT query_id, id, rank, retrieval_rank FROM k")
+def live_topk(spark, d):
+    live = _catalog(spark, d).filter("status_key = 'indexed'").select(F.col("document_id").alias("id"))
+    return ca.first_live(rt.keyword(_questions(spark, d), _chunks(spark, d)), live, 5).select("query_id", "id", "rank", "retrieval_rank")
+
+
+@query(f"""WITH {_KEY}, h AS (SELECT query_id, id, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM kw WHERE rank <= 4),
+u AS (SELECT * FROM h UNION ALL SELECT query_id, id, 1, rank FROM kw WHERE rank > 4) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS rank FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY part, rank) <= 10""")
+def rerank_head(spark, d):
+    """The first four by id, as a reranker would order them anew, then the rest as it was."""
+    found = rt.keyword(_questions(spark, d), _chunks(spark, d))
+    head = rt.ranked(found.filter("rank <= 4").select("query_id", "id", F.lit(0.0).alias("score"))).drop("score")
+    return ca.head_and_tail(head, found, 4, 10)
+
+
+@query("WITH f AS (SELECT conv_id, bool_or(trim(coalesce(text, '')) = '') AS blank, min(turn) FILTER (role <> 'system') AS first, max(turn) FILTER (role = 'system') AS sys, max_by(role, turn) AS last FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN blank THEN 'blank' WHEN sys > first THEN 'late_system' WHEN last <> 'user' THEN 'last_not_user' ELSE 'ok' END AS fault FROM f")
+def message_faults(spark, d):
+    return an.message_faults(table(spark, d, "conversations"))
+
+
+_MOVES = "('click', 'parsing'), ('error', 'failed'), ('purchase', 'parsed'), ('signup', 'uploaded'), ('view', 'chunking')"
+_EDGES = ", ".join(f"('{a}', '{b}')" for a, to in ca.TRANSITIONS.items() for b in to)
+
+
+@query(f"""WITH s(event_type, st) AS (VALUES {_MOVES}), g(a, b) AS (VALUES {_EDGES}),
+m AS (SELECT st AS from_key, lead(st) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_key FROM events JOIN s USING (event_type))
+SELECT from_key, to_key, count(*) AS n, bool_or(a IS NOT NULL) AS legal FROM m LEFT JOIN g ON from_key = a AND to_key = b WHERE to_key IS NOT NULL GROUP BY ALL""")
+def state_transitions(spark, d):
+    """Events as states of their user, in order, and whether each kind of move is legal."""
+    state = F.when(F.col("event_type") == "click", "parsing").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "parsed").when(F.col("event_type") == "signup", "uploaded").otherwise("chunking")
+    e = table(spark, d, "events").withColumn("from_key", state)
+    e = e.withColumn("to_key", F.lead("from_key").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("to_key IS NOT NULL")
+    return ca.legal_moves(e.groupBy("from_key", "to_key").agg(F.count(F.lit(1)).alias("n")))
+
+
+_WORDS = r"len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
+
+
+@query(rf"WITH t AS (SELECT doc_id, CAST(ceil(length(text) * 0.3::DOUBLE) AS BIGINT) AS estimate, CAST({_WORDS} AS BIGINT) AS actual FROM documents) SELECT doc_id, estimate, actual, estimate > 600 AND actual < 0.8 * estimate AS suspected FROM t")
+def truncation_suspected(spark, d):
+    """Words stand for the tokens that a model says it has read."""
+    n = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long")
+    t = table(spark, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("estimate"), n.alias("actual"))
+    return t.withColumn("suspected", ca.truncation_suspected(F.col("estimate"), F.col("actual"), 600))
+
+
+@query(rf"WITH t AS (SELECT lang, length(text) AS chars, ceil(length(text) * 0.3::DOUBLE) AS estimated, {_WORDS} AS actual FROM documents) SELECT lang, round(sum(actual)::DOUBLE / sum(chars), 6) AS per_char, round(sum(actual)::DOUBLE / sum(estimated), 6) AS per_estimate FROM t GROUP BY lang")
+def token_ratios(spark, d):
+    n = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+    t = table(spark, d, "documents").select("lang", F.char_length("text").alias("chars"), tx.token_estimate(F.col("text")).alias("estimated"), n.alias("actual"))
+    return an.token_ratios(t, "lang")
+
+
+@query(f"WITH {_KEY}, {_EXA}, q AS (SELECT item_id, CASE WHEN item_id IN (SELECT query_id FROM ex) THEN 'answerable' ELSE 'no_answer' END AS type, (SELECT max(score) FROM kw WHERE query_id = item_id) > 5000 AS has FROM benchmark) SELECT count(*) FILTER (type = 'no_answer' AND NOT has) AS no_answer_rejected, count(*) FILTER (type = 'no_answer' AND has IS NOT NULL) AS no_answer, count(*) FILTER (type <> 'no_answer' AND has) AS answerable_passed, count(*) FILTER (type <> 'no_answer' AND has IS NOT NULL) AS answerable, count(*) FILTER (has = (type = 'no_answer')) AS errors FROM q")
+def threshold_confusion(spark, d):
+    """Keyword scores above 5,000 open the gate; questions whose text some document holds are answerable."""
+    top = rt.keyword(_questions(spark, d), _chunks(spark, d)).groupBy("query_id").agg((F.max("score") > 5000).alias("has_candidates"))
+    return an.threshold_confusion(_ranks(spark, d).join(top, "query_id", "left"))
+
+
+@query("SELECT user_id, quantile_disc(value, 0.5) FILTER (event_type = 'purchase') AS p50, quantile_disc(value, 0.95) FILTER (event_type = 'purchase') AS p95, count(*) FILTER (event_type = 'purchase') AS n_reranked, count(*) FILTER (event_type = 'error') AS n_degraded FROM events GROUP BY user_id")
+def degraded_latency(spark, d):
+    e = table(spark, d, "events").select("user_id", F.col("value").alias("rerank_ms"), (F.col("event_type") == "purchase").alias("reranked"), (F.col("event_type") == "error").alias("degraded"))
+    return an.degraded_latency(e, "user_id")
+
+
+@query("""WITH s AS (SELECT CASE WHEN l_returnflag <> 'R' THEN l_tax END AS rewrite, l_quantity AS retrieval, l_discount AS llm FROM lineitem),
+u AS (SELECT 'rewrite' AS stage, rewrite AS ms FROM s UNION ALL SELECT 'retrieval', retrieval FROM s UNION ALL SELECT 'llm', llm FROM s UNION ALL SELECT 'total', coalesce(rewrite, 0) + retrieval + coalesce(llm, 0) FROM s)
+SELECT stage, round(quantile_disc(ms, 0.5), 6) AS p50, round(quantile_disc(ms, 0.95), 6) AS p95, count(ms) AS n FROM u GROUP BY stage""")
+def stage_percentiles(spark, d):
+    log = table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") != "R", F.col("l_tax")).alias("rewrite"), F.col("l_quantity").alias("retrieval"), F.col("l_discount").alias("llm"))
+    got = an.stage_percentiles(log, {"rewrite": "rewrite", "retrieval": "retrieval", "llm": "llm"})
+    return got.withColumns({"p50": F.round("p50", 6), "p95": F.round("p95", 6)})
+
+
+# Conversations as documents whose turns are pages.
+_ASM = """
+pg AS (SELECT conv_id AS doc_id, turn AS page, coalesce(text, '') AS text FROM conversations),
+fi AS (SELECT *, max(CASE WHEN text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS open FROM pg),
+st AS (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM fi WHERE open = 1)"""
+
+
+def _assembled(spark, d):
+    return ch.assembled(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"))
+
+
+@query(f"WITH {_ASM} SELECT doc_id, page, start FROM st WHERE text <> ''")
+def page_offsets(spark, d):
+    return _assembled(spark, d).select("doc_id", F.inline("pages"))
+
+
+@query(f"WITH {_ASM}, n AS (SELECT doc_id, sum(length(text) + 1) - 1 AS n FROM st GROUP BY doc_id) SELECT n.doc_id, CAST(n // 2 AS BIGINT) AS at, max(page) FILTER (start <= n // 2 AND text <> '') AS page FROM n JOIN st USING (doc_id) GROUP BY ALL")
+def page_of_offset(spark, d):
+    """The page in the middle of each assembled text."""
+    a = _assembled(spark, d).filter("size(pages) > 0").withColumn("at", F.floor(F.char_length("text") / 2).cast("long"))
+    return a.select("doc_id", "at", ch.page_at(F.col("pages"), F.col("at")).alias("page"))
+
+
+@query(None)
+def chunk_structure(spark, d):
+    """SQL can't express the packing; tests hold it against goldens and a naive version."""
+    return ch.chunk_documents(ch.assembled(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page"), "text")))
+
+
+@query(None)
+def chunk_recursive(spark, d):
+    return ch.chunk_documents(_assembled(spark, d), "recursive", ch.Budget(120, 0.15, 20))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, substring(replace(content, chr(10), ' '), 1, 60) AS preview, '1' AS pages, 'fixed_v1:max600:ov15' AS chunk_strategy FROM ch")
+def chunk_preview(spark, d):
+    c = an.fixed_chunks(table(spark, d, "documents"))
+    one = F.lit(1)
+    return c.select("doc_id", "chunk_index", ca.preview(F.col("content")).alias("preview"), ca.page_label(one, one).alias("pages"), F.lit(ch.Budget().label("fixed")).alias("chunk_strategy"))
+
+
+@query("SELECT conv_id AS doc_id, string_agg('【第 ' || turn || ' 頁】' || chr(10) || regexp_replace(coalesce(text, ''), '<(/?)document>', '＜\\1document＞', 'gi'), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
+def document_context(spark, d):
+    return ca.document_context(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(translate(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160) || chr(9), '  '), '(?m) +$', '', 'g'), '([^\s]) {2,}', '\1 ', 'g') AS text FROM documents")
+def clean_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.clean_lines(F.col("text")).alias("text"))
+
+
+# Answers that cite: the start of each document with two markers made from its id; three references to the next ids.
+_ANS = """
+an AS (SELECT doc_id AS answer_id, left(text, 100) || ' [' || (doc_id % 5) || '] and [' || (1 + doc_id % 3) || ', 9] .' AS answer, doc_id % 5 AS a, 1 + doc_id % 3 AS b FROM documents),
+rf AS (SELECT doc_id AS answer_id, CAST(n AS BIGINT) AS number, doc_id + n AS chunk_id FROM documents, range(1, 4) t(n)),
+mk AS (SELECT answer_id, 1 AS m, 0 AS p, a AS number FROM an UNION ALL SELECT answer_id, 2, 0, b FROM an UNION ALL SELECT answer_id, 2, 1, 9 FROM an),
+rs AS (SELECT mk.*, CASE WHEN rf.number IS NULL THEN 'out_of_range' WHEN rf.chunk_id NOT IN (SELECT doc_id FROM documents) THEN 'source_missing' END AS reason FROM mk LEFT JOIN rf USING (answer_id, number)),
+rd AS (SELECT answer_id, coalesce(string_agg('[' || number || ']', '') FILTER (m = 1 AND reason IS NULL), '') AS one, coalesce(string_agg('[' || number || ']', '') FILTER (m = 2 AND reason IS NULL), '') AS two,
+       coalesce(array_to_string(list_sort(list_distinct(list(number) FILTER (reason IS NULL))), ','), '') AS citations, count(reason) AS n_invalid FROM rs GROUP BY answer_id)"""
+
+
+def _resolved(spark, d):
+    docs = table(spark, d, "documents")
+    number = lambda x: x.cast("string")
+    answer = F.concat(F.left("text", F.lit(100)), F.lit(" ["), number(F.col("doc_id") % 5), F.lit("] and ["), number(1 + F.col("doc_id") % 3), F.lit(", 9] ."))
+    refs = docs.select(F.col("doc_id").alias("answer_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).select("answer_id", F.col("n").cast("long").alias("number"), (F.col("answer_id") + F.col("n")).alias("chunk_id"))
+    return ci.resolve_citations(docs.select(F.col("doc_id").alias("answer_id"), answer.alias("answer"), F.lit(False).alias("insufficient")), refs, docs.select(F.col("doc_id").alias("chunk_id")))
+
+
+@query(f"""WITH {_ANS}, w AS (SELECT rd.*, left(text, 100) || ' ' || one || ' and ' || two || ' .' AS t FROM rd JOIN documents ON doc_id = answer_id)
+SELECT answer_id, CASE WHEN one = '' OR two = '' THEN trim(regexp_replace(regexp_replace(t, '[ \\t　]+([。，、；：！？.,;:!?\\n])', '\\1', 'g'), '[ \\t　]+$', ''), ' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11)) ELSE t END AS answer, citations, n_invalid, citations = '' AS uncited FROM w""".replace("|| chr(0) ", ""))
+def citation_resolve(spark, d):
+    return _resolved(spark, d).select("answer_id", "answer", F.array_join(F.transform("citations", lambda n: n.cast("string")), ",").alias("citations"), F.size("invalid").cast("long").alias("n_invalid"), "uncited")
+
+
+@query(f"WITH {_ANS}, z(reason) AS (VALUES ('insufficient_answer'), ('out_of_range'), ('source_missing'), ('non_numeric')) SELECT z.reason, count(rs.reason) AS n FROM z LEFT JOIN rs USING (reason) GROUP BY z.reason")
+def citation_invalid(spark, d):
+    return ci.invalid_by_reason(_resolved(spark, d))
+
+
+@query(f"""WITH {_ANS}, c AS (SELECT DISTINCT answer_id, rs.number, source FROM rs JOIN rf USING (answer_id, number) JOIN documents ON doc_id = chunk_id WHERE reason IS NULL)
+SELECT answer_id, min(number) AS place, string_agg('[' || number || ']', '' ORDER BY number) || ' ' || source || '　第 1 頁' AS line FROM c GROUP BY answer_id, source""")
+def citation_lines(spark, d):
+    docs = table(spark, d, "documents")
+    c = _resolved(spark, d).select("answer_id", F.explode("citations").alias("ref")).withColumn("_at", F.col("answer_id") + F.col("ref"))
+    names = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("document"))
+    one = F.lit(1).cast("long")
+    c = c.join(names, F.col("_at") == F.col("_id")).select("answer_id", "ref", F.col("document").alias("document_id"), "document", F.lit(None).cast("string").alias("section"), one.alias("page_start"), one.alias("page_end"))
+    return ci.citation_lines(c)
+
+
+@query(f"""WITH {_ANS}, c AS (SELECT answer_id, bool_or(reason IS NULL AND chunk_id % 2 = 0) AS hit FROM rs LEFT JOIN rf USING (answer_id, number) GROUP BY answer_id)
+SELECT answer_id, coalesce(hit, false) AS hit FROM c""")
+def citation_hit(spark, d):
+    """Expected: the reference with an even id, of the next three documents."""
+    c = _resolved(spark, d).select("answer_id", F.explode("citations").alias("ref")).select("answer_id", (F.col("answer_id") + F.col("ref")).cast("string").alias("document"), F.lit("a / b").alias("section"))
+    even = F.filter(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.col("doc_id") + n), lambda i: i % 2 == 0)
+    e = table(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), F.transform(even, lambda i: F.struct(i.cast("string").alias("document"), F.lit("b").alias("section"))).alias("expected"))
+    return ci.citation_hits(c, e)
+
+
+@query(f"""WITH {_ANS}, r AS (SELECT d.lang AS type, citations <> '' AS passed, n_invalid > 1 AS blocked, length(d.text) > 2000 AS truncated, d.text IS NULL AS failed, length(d.text) AS tokens, length(d.text) / 10.0::DOUBLE AS ms FROM rd JOIN documents d ON doc_id = answer_id)
+SELECT type, count(*) AS n, count(*) FILTER (passed) AS n_passed, count(*) FILTER (blocked) AS n_blocked, count(*) FILTER (truncated) AS n_truncated, count(*) FILTER (failed) AS n_failed, round(avg(tokens), 6) AS avg_tokens, round(avg(ms), 6) AS avg_ms FROM r GROUP BY type""")
+def answer_summary(spark, d):
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "answer_id")
+    r = _resolved(spark, d).select("answer_id", "citations", "invalid").join(docs, "answer_id")
+    n = F.char_length("text")
+    passed = aw.answer_passes(F.lit("exact"), F.lit(False), F.lit(True), F.size("citations"))
+    return an.answer_summary(r.select(F.col("lang").alias("type"), passed.alias("passed"), (F.size("invalid") > 1).alias("blocked"), (n > 2000).alias("truncated"), F.col("text").isNull().alias("failed"), n.alias("tokens"), (n / 10.0).alias("ms")))
+
+
+@query(f"""WITH {_TURNS}, h AS (SELECT conv_id, string_agg('使用者：' || question || chr(10) || '助理：' || answer, chr(10) ORDER BY turn) AS body, string_agg(question, ' ' ORDER BY turn) AS asked, max_by(question, turn) AS last FROM t GROUP BY conv_id)
+SELECT conv_id, '<history>' || chr(10) || body || chr(10) || '</history>' || chr(10) || chr(10) || '最後的問題：' || last AS message, asked || ' ' || last AS query FROM h""")
+def rewrite_message(spark, d):
+    t = an.recent_turns(table(spark, d, "conversations")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "question", "answer"))).alias("h"), F.max_by("question", "turn").alias("q"))
+    return t.select("conv_id", aw.rewrite_message(F.col("h"), F.col("q")).alias("message"), aw.evaluation_query("concat", F.col("h"), F.col("q"), F.col("q")).alias("query"))
+
+
+@query(f"""WITH {_TURNS}, r AS (SELECT conv_id, turn, question, CASE turn % 3 WHEN 0 THEN replace(question, '?', '!') WHEN 1 THEN left(answer, 250) ELSE '' END AS w FROM t)
+SELECT conv_id, turn, CASE WHEN w = '' THEN 'fallback_empty' WHEN length(w) > 200 THEN 'fallback_too_long' WHEN regexp_replace(w, '[\\s\\p{{P}}\\p{{S}}]+', '', 'g') = regexp_replace(question, '[\\s\\p{{P}}\\p{{S}}]+', '', 'g') THEN 'unchanged' ELSE 'rewritten' END AS status FROM r""")
+def rewrite_status(spark, d):
+    """Rewritings made from the turn: the question with another sign, the answer's start, or nothing."""
+    t = an.recent_turns(table(spark, d, "conversations"))
+    w = F.when(F.col("turn") % 3 == 0, F.replace("question", F.lit("?"), F.lit("!"))).when(F.col("turn") % 3 == 1, F.left("answer", F.lit(250))).otherwise("")
+    return t.select("conv_id", "turn", aw.rewrite_status(w, F.col("question")).alias("status"))
+
+
+@query("SELECT doc_id, page_number AS page, CAST(length(text) AS BIGINT) AS n FROM (SELECT conv_id AS doc_id, turn AS page_number, text FROM conversations) ORDER BY ALL")
+def ordered_pages(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.char_length("text").cast("long").alias("n"))
+    return c.orderBy("doc_id", "page")

@@ -6,26 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestar.operators.analytics import fixed_chunks
-
-BUCKETS = 64
-
-
-def ingest_chunks(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Reads Parquet files that arrive in ``source`` and rewrites, per micro-batch, the buckets of documents that it
-    holds. Replaying a batch gives the same table; the stream's checkpoint remembers which files are done."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        latest = batch.dropDuplicates(["doc_id"])
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-        new = fixed_chunks(latest).withColumn("bucket", bucket)
-        touched = [r["b"] for r in latest.select(bucket.alias("b")).distinct().collect()]  # at most BUCKETS numbers
-        try:
-            old = spark.read.parquet(target).filter(F.col("bucket").isin(touched)).join(latest.select("doc_id"), "doc_id", "left_anti")
-            new = old.select(new.columns).unionByName(new).checkpoint()
-        except Exception as e:  # the first batch: there is no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+from lodestar.operators.chunking import CHUNK, Budget, assembled, chunk_documents
+from lodestar.sources.versioned import VersionedTable
+
+
+def chunk_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, "doc_id", CHUNK)
+
+
+def ingest_chunks(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, order: str = "version", budget: Budget = Budget()) -> StreamingQuery:
+    """Reads Parquet files (doc_id, text, ``order``) that arrive in ``source`` and replaces their documents' chunks in
+    chunk_table(target). Of a document's rows in one micro-batch, that with the greatest ``order`` counts, then the greatest
+    text; one whose text is gone loses its chunks. A micro-batch that is run again writes the same version again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest = batch.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct(F.col(order).alias("o"), "text")).alias("m"))
+        pages = latest.select("doc_id", F.lit(1).alias("page"), F.col("m.text").alias("text"))
+        chunk_table(spark, target).replace(chunk_documents(assembled(pages), budget=budget), number, pages)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
