@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, stored, words
 
 #: A line goes when it stands in more than this share of a host's distinct documents ...
-MAX_SHARE = 0.25
+MAX_SHARE = 0.04
 #: ... and in more documents than this.
 MIN_DOCUMENTS = 20
 #: A document is depleted when fewer words than this, or a smaller share of its words, are left.

@@ -427,6 +427,12 @@ def test_quality(spark):
     assert quality.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_a_line_in_a_twentieth_of_a_host_goes(spark):
+    rows = [(300 + 3 * i, ("common notice\n" if i < 30 else "") + " ".join(f"v{i}_{j}" for j in range(30))) for i in range(600)]
+    got = quality.quality_rules(docs(spark, rows)).collect()
+    assert all(r.n_lines_removed == (r.doc_id < 390) and r.kept for r in got)
+
+
 def test_depleted_documents_go(spark):
     line = "same old boilerplate line that stands everywhere in this host " * 3
     rows = [(i, line + "\n" + " ".join(f"v{i}_{j}" for j in range(30 if i % 2 else 3))) for i in range(80)]
