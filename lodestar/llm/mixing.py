@@ -23,6 +23,8 @@ from .common import as_bytes, gives_back, mix, stored, table
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Words in a block, slots in a shard, and shards at most (beyond that, shards grow).
 BLOCK, SHARD_SLOTS, MAX_SHARDS = 64, 4096, 100_000
+#: Slots that a task makes, about.
+TASK_SLOTS = 1 << 18
 SEED = 20240607
 _U = np.uint64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -130,7 +132,9 @@ class Mixture:
         self.rows = d.join(sums, (F.col("s") == F.col("_gs")) & (F.col("_salt") == F.col("_gsalt"))).withColumn("start", F.col("_start") + F.col("_before"))
         per = max(SHARD_SLOTS, -(-sum(slots) // MAX_SHARDS))
         drawn = [(*r, blocks[r[1]]) for r in draws(slots, per, seed)]
-        p = spark.createDataFrame(drawn or [(0, 0, 0, 0, 1)], "shard int, s int, first long, n long, blocks long").filter("n > 0").repartition("shard", "s")
+        # a given number of partitions, which Spark does not join again: each row becomes thousands
+        parts = max(1, min(10_000, sum(slots) // TASK_SLOTS))
+        p = spark.createDataFrame(drawn or [(0, 0, 0, 0, 1)], "shard int, s int, first long, n long, blocks long").filter("n > 0").repartition(parts, "shard", "s")
         p = p.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
         p = p.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
         self.slots = p.select("shard", "s", "slot", "pass", F.pandas_udf(_block_of, "long")(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "s", "pass")).alias("block"))
