@@ -29,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where that is
-    unset, as in tests, a temporary folder is set in its place."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Only where that is unset in a local
+    session, as in tests, a temporary folder is set in its place; a cluster without one is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -75,7 +75,7 @@ def match_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
     Keys are dealt out by range, with host and path behind them, so that one key which many urls share is split. The
     sorted partitions are checkpointed, as the sweep needs their borders: for each partition's first key (one string
-    per partition on the driver), its open rules are looked up by its prefixes.
+    per partition on the driver), its open rules are looked up by its prefixes of the lengths that rules have.
     """
     spark = hosts.sparkSession
     r = _keyed_rules(rules)
@@ -90,10 +90,12 @@ def match_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     shared_dir(spark, "urls")  # sets a folder where the session has none
     events = looked.unionByName(ruled).repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
     first = events.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("key", F.col("is_rule").cast("int"))).alias("k")).collect()
-    prefixes = [(x["p"], x["k"]["key"][:n]) for x in first for n in range(1, len(x["k"]["key"]) + 1)]
     carried: dict[int, list[tuple[str, str, str]]] = {}
-    if prefixes:
-        found = spark.createDataFrame(prefixes, "p int, prefix string").join(r, F.col("prefix") == F.col("key")).select("p", "key", "rule", "verdict").collect()
+    if first:
+        starts = spark.createDataFrame([(x["p"], x["k"]["key"]) for x in first], "p int, start string")
+        lengths = r.select(F.length("key").alias("n")).distinct()
+        prefixes = starts.join(lengths, F.length("start") >= F.col("n")).select("p", F.expr("left(start, n)").alias("prefix"))
+        found = prefixes.join(r, F.col("prefix") == F.col("key")).select("p", "key", "rule", "verdict").collect()
         for x in sorted(found, key=lambda x: len(x["key"])):
             carried.setdefault(x["p"], []).append((x["key"], x["rule"], x["verdict"]))
     swept = events.mapInArrow(partial(_sweep, carried=carried), "host string, path string, rule string, verdict string")
