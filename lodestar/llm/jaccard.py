@@ -80,10 +80,10 @@ def set_keys(flat: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def range_sizes(s: np.ndarray) -> np.ndarray:
-    """How many of the set's hashes lie in each of 2^k equal ranges, about four each."""
+    """How many of the set's hashes lie in each of 2^k equal ranges, about four each; 255: as many or more."""
     bits = max(0, int(len(s) // 4).bit_length() - 1)
     place = (s >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64)
-    return np.bincount(place, minlength=1 << bits).astype(np.uint32)
+    return np.minimum(np.bincount(place, minlength=1 << bits), 255).astype(np.uint8)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int, n: int) -> Iterator[tuple]:
@@ -124,7 +124,10 @@ def may_link(na: np.ndarray, a: list[np.ndarray], nb: np.ndarray, b: list[np.nda
 def _screen(table_: pa.Table, num: int, den: int) -> pa.Table:
     """The rows of a block that some pair may link."""
     tiles, sizes = table_.column("tile").to_numpy(), table_.column("n").to_numpy().astype(float)
-    ranges = [np.frombuffer(x.as_py(), np.uint32) for x in table_.column("ranges")]
+    ranges = []
+    for x, n in zip(table_.column("ranges"), sizes.astype(np.int64), strict=True):
+        own = np.frombuffer(x.as_py(), np.uint8)
+        ranges.append(np.where(own == 255, n, own))  # a bound all the same
     low, high = table_.column("low")[0].as_py(), table_.column("high")[0].as_py()
     left, right = np.flatnonzero(tiles == low), np.flatnonzero(tiles == high)
     ok = may_link(sizes[left], [ranges[i] for i in left], sizes[right], [ranges[i] for i in right], num, den)
