@@ -45,23 +45,50 @@ _CONTAINERS = ("div", "section", "td", "body", "html", "center", "blockquote", "
 _UNSEEN = frozenset("datalist head iframe math noscript object script style svg template title".split())
 
 
+_HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Open elements that an opening tag may close: the nearest of the first set, unless one of the second set is nearer.
+_SCOPES = {"p": (frozenset({"p"}), frozenset(("table", "td", "th", "button", "object")))} | {tag: (frozenset(own), frozenset(stop)) for tag, (own, stop) in _SIBLINGS.items()}
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "hinted", "dropped", "mute", "holds", "depth", "mass")
+    """What its ancestors decide is kept with each element, so that no tag or line walks up to the root."""
+
+    __slots__ = ("tag", "parent", "hinted", "dropped", "mute", "holds", "depth", "mass", "size", "near", "unseen", "within", "outer", "container", "kept")
 
     def __init__(self, tag: str, parent: _Element | None, hinted: bool):
-        self.tag, self.parent, self.hinted, self.holds, self.mass = tag, parent, hinted, False, 0.0
+        self.tag, self.parent, self.hinted, self.holds, self.mass, self.size = tag, parent, hinted, False, 0.0, 0
         self.depth = parent.depth + 1 if parent else 0
         self.dropped = tag in _DROP
         #: Inside an inline element that is left out: its text never reaches a line.
         self.mute = bool(parent) and (parent.mute or tag not in _BLOCK and (self.dropped or hinted))
+        self.unseen = tag in _UNSEEN or bool(parent) and parent.unseen
+        self.within = tag in _CONTENT or bool(parent) and parent.within
+        #: The outermost article and main around, and the nearest element that can be a region (None: the page).
+        self.outer = tuple(o or (self if tag == t else None) for o, t in zip(parent.outer if parent else (None, None), _CONTENT, strict=True))
+        self.container = self if tag in _CONTAINERS else parent.container if parent else None
+        near = parent.near if parent else {}
+        if tag in _SCOPE_TAGS:
+            near = dict(near)
+            for group, (own, stop) in _SCOPES.items():
+                if tag in stop:
+                    near.pop(group, None)
+                elif tag in own:
+                    near[group] = self
+        self.near = near
+        self.kept: dict[bool, bool] = {}
+
+
+_SCOPE_TAGS = frozenset().union(*(own | stop for own, stop in _SCOPES.values()))
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, element) lines of a page."""
+    """Collects (text, tags, element) lines of a page, in time linear in its length whatever is left open."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.at = _Element("", None, False)
+        self.elements = [self.at]
+        self.open: dict[str, int] = {}
         self.lines: list[tuple[str, int, _Element]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -73,31 +100,32 @@ class Lines(HTMLParser):
             self.tags = 0
         self.text = []
 
-    def _close(self, tags: set[str], stop: frozenset[str] | set[str]) -> None:
-        e = self.at
-        while e.parent and e.tag not in stop:
-            if e.tag in tags:
-                self.at = e.parent
+    def _leave(self, last: _Element) -> None:
+        """Closes all elements up to ``last``."""
+        while True:
+            e, self.at = self.at, self.at.parent
+            self.open[e.tag] -= 1
+            if e is last:
                 return
-            e = e.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCK:
             self._end_line()
         self.tags += 1
-        if tag in _ENDS_P:
-            self._close({"p"}, frozenset(("table", "td", "th", "button", "object")))
-        if tag in _SIBLINGS:
-            self._close(*_SIBLINGS[tag])
+        for group in ("p" if tag in _ENDS_P else None, tag if tag in _SIBLINGS else None):
+            if group and (last := self.at.near.get(group)):
+                self._leave(last)
         if tag in _VOID:
             return
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         found = set(_SPLIT.split(_CAMEL.sub(" ", marks).lower())) if marks and tag not in ("html", "body", "main") else set()
-        around = list(_around(self.at))
-        if tag in _CONTENT and not any(x.tag == "article" for x in around):
-            for x in around:
-                x.holds = True
+        if tag in _CONTENT and not self.at.outer[0]:
+            x = self.at
+            while x.parent and not x.holds:  # what is above one that holds, holds too
+                x.holds, x = True, x.parent
         self.at = _Element(tag, self.at, bool(found & _HINTS) and not found & _FRAMES)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.elements.append(self.at)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -108,12 +136,11 @@ class Lines(HTMLParser):
         if tag in _BLOCK:
             self._end_line()
         self.tags += 1
-        e = self.at
-        while e.parent:
-            if e.tag == tag:
-                self.at = e.parent
-                return
-            e = e.parent
+        if self.open.get(tag):
+            e = self.at
+            while e.tag != tag:
+                e = e.parent
+            self._leave(e)
 
     def handle_data(self, data: str) -> None:
         if not self.at.mute:
@@ -137,14 +164,34 @@ def _around(e: _Element) -> Iterator[_Element]:
 def _kept(e: _Element) -> bool:
     """Not inside an element that is left out. A header inside an article keeps its headings. Hints do not count on
     an element that holds an article or main element, unless that stands in an article itself."""
-    heading = False
+    heading, path, ok = False, [], True
     for x in _around(e):
-        heading |= x.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if x.dropped or x.hinted and not x.holds:
-            return False
-        if x.tag == "header" and not (heading and any(y.tag in _CONTENT for y in _around(x))):
-            return False
-    return True
+        heading |= x.tag in _HEADS
+        if heading in x.kept:
+            ok = x.kept[heading]
+            break
+        path.append((x, heading))
+        if x.dropped or x.hinted and not x.holds or x.tag == "header" and not (heading and x.within):
+            ok = False
+            break
+    for x, h in path:
+        x.kept[h] = ok
+    return ok
+
+
+def _inside(e: _Element, regions: set[int], known: dict[int, bool]) -> bool:
+    """Whether the element or one around it is a region; ``known`` remembers the elements passed."""
+    path, found = [], False
+    for x in _around(e):
+        if id(x) in known:
+            found = known[id(x)]
+            break
+        path.append(x)
+        if id(x) in regions:
+            found = True
+            break
+    known.update((id(x), found) for x in path)
+    return found
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> np.ndarray:
@@ -156,17 +203,6 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> np.ndarray:
     return pad(v) / pad(np.ones(len(v)))
 
 
-def _outermost(e: _Element, tag: str) -> _Element | None:
-    return next((x for x in reversed(list(_around(e))) if x.tag == tag), None)
-
-
-def _container(e: _Element | None) -> _Element | None:
-    """The nearest element that can be a region; None: the page."""
-    while e is not None and e.tag not in _CONTAINERS:
-        e = e.parent if e.parent and e.parent.parent else None
-    return e
-
-
 def _cluster(lines: list[tuple[str, int, _Element]], anchored: list[bool], kept: list[bool], sigma: float) -> list[int]:
     """Positions of the kept lines whose smoothed ratio reaches the threshold."""
     ratio = smoothed([len(text) / max(1, tags) for text, tags, _ in lines], sigma)
@@ -180,44 +216,49 @@ def extract(html: str, sigma: float = SIGMA) -> str:
     """The main text: lines of the content region, in page order, joined by one space. Empty if there is none."""
     parser = Lines()
     parser.feed(html)
-    lines = [x for x in parser.finish() if not any(e.tag in _UNSEEN for e in _around(x[2]))]
+    lines = [x for x in parser.finish() if not x[2].unseen]
     kept = [_kept(e) for _, _, e in lines]
     if not any(kept):
         return ""
-    for tag in _CONTENT:  # main only where no article has kept lines
-        anchors = [_outermost(e, tag) if k else None for (_, _, e), k in zip(lines, kept, strict=True)]
+    for tag in range(len(_CONTENT)):  # main only where no article has kept lines
+        anchors = [e.outer[tag] if k else None for (_, _, e), k in zip(lines, kept, strict=True)]
         if any(anchors):
             break
     cluster = _cluster(lines, [a is not None for a in anchors], kept, sigma)
     if not cluster:  # all of it is cleaned out: what is left is clustered by itself
         own = [i for i, k in enumerate(kept) if k]
         cluster = [own[j] for j in _cluster([lines[i] for i in own], [anchors[i] is not None for i in own], [True] * len(own), sigma)]
+    known: dict[int, bool] = {}
     if any(anchors[i] for i in cluster):
-        regions = {id(anchors[i]) for i in cluster if anchors[i]}
-        holders = {id(x) for i in cluster if anchors[i] for x in _around(anchors[i])}
+        regions = {id(anchors[i]): anchors[i] for i in cluster if anchors[i]}
+        holders: set[int] = set()
+        for a in regions.values():
+            for x in _around(a):
+                if id(x) in holders:
+                    break
+                holders.add(id(x))
+        own, region_ids = set(cluster), set(regions)
         for i in cluster:
-            if not anchors[i] and (c := _container(lines[i][2])) and id(c) not in holders:
-                regions.add(id(c))  # with the short lines there; an element around an article too is no region
-        own = set(cluster)
-        return " ".join(text for i, (text, _, e) in enumerate(lines) if kept[i] and (i in own or any(id(x) in regions for x in _around(e))))
+            if not anchors[i] and (c := lines[i][2].container) and id(c) not in holders:
+                region_ids.add(id(c))  # with the short lines there; an element around an article too is no region
+        return " ".join(text for i, (text, _, e) in enumerate(lines) if kept[i] and (i in own or _inside(e, region_ids, known)))
     total = float(sum(len(lines[i][0]) for i in cluster))
-    elements: dict[int, _Element] = {}
     for i in cluster:
-        for x in _around(lines[i][2]):
-            elements[id(x)] = x
-            x.mass += len(lines[i][0])
-    held = [x for x in elements.values() if x.mass >= HELD * total]
-    main = _container(max(held, key=lambda x: x.depth, default=None))
-    regions, own = {id(main)}, set(range(cluster[0], cluster[-1] + 1))
-    around = {id(x) for x in _around(main)} if main else set()
-    sizes: dict[int, int] = {}
+        lines[i][2].mass += len(lines[i][0])
     for (text, _, e), k in zip(lines, kept, strict=True):
-        for x in _around(e) if k else ():
-            sizes[id(x)] = sizes.get(id(x), 0) + len(text)
+        e.size += len(text) if k else 0
+    for x in reversed(parser.elements):  # children come after their parents
+        if x.parent:
+            x.parent.mass, x.parent.size = x.parent.mass + x.mass, x.parent.size + x.size
+    held = [x for x in parser.elements if x.parent and x.mass >= HELD * total]
+    main = max(held, key=lambda x: x.depth, default=None)
+    main = main and main.container
+    region_ids, own = {id(main)}, set(range(cluster[0], cluster[-1] + 1))
+    around = {id(x) for x in _around(main)} if main else set()
     for i in cluster:  # other blocks that are cluster lines mostly stay with their short lines, too
-        if (c := _container(lines[i][2])) and id(c) not in around and c.mass >= HELD * sizes[id(c)]:
-            regions.add(id(c))
-    return " ".join(text for i, (text, _, e) in enumerate(lines) if kept[i] and (main is None or i in own or any(id(x) in regions for x in _around(e))))
+        if (c := lines[i][2].container) and id(c) not in around and c.mass >= HELD * c.size:
+            region_ids.add(id(c))
+    return " ".join(text for i, (text, _, e) in enumerate(lines) if kept[i] and (main is None or i in own or _inside(e, region_ids, known)))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], sigma: float) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -377,6 +378,25 @@ def test_html_keeps_siblings_above_the_threshold():
     assert html.extract(page).endswith(" ".join(" ".join(parts).split()))
 
 
+@pytest.mark.parametrize("part", ["<div>x", "<p><table><td><div>x", "<li>x<ul>", "</b><div>x", "<article><div>x"])
+def test_html_left_open_takes_linear_time(part):
+    began = time.process_time()
+    assert html.extract(part * 20_000).count("x") > 0 and html.extract("<p>" + "word " * 300_000).count("word") == 300_000
+    assert time.process_time() - began < 20
+
+
+def test_smoothing_and_threshold_by_hand():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 40):
+        v, weight = rng.random(n) * 50, lambda d: math.exp(-0.5 * d * d) if d <= 3 else 0.0
+        want = [sum(weight(abs(i - j)) * v[j] for j in range(n)) / sum(weight(abs(i - j)) for j in range(n)) for i in range(n)]
+        assert html.smoothed(v.tolist()) == pytest.approx(want)
+        lines = [("t" * round(50 * x + 1), 1 + i % 3, None) for i, x in enumerate(v / 50)]
+        ratio = [sum(weight(abs(i - j)) * len(lines[j][0]) / lines[j][1] for j in range(n)) / sum(weight(abs(i - j)) for j in range(n)) for i in range(n)]
+        least = min(sum(ratio) / n, math.sqrt(sum((r - sum(ratio) / n) ** 2 for r in ratio) / n))
+        assert html._cluster(lines, [False] * n, [True] * n, 1.0) == [i for i, r in enumerate(ratio) if r >= least]
+
+
 def test_html_frame(spark):
     got = html.main_text(spark.createDataFrame([(1, "u", None, 1), (1, None, "<p>x", 2)], "page_id long, url string, html string, text int")).collect()
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in got] == [(1, "u", "", 0), (1, None, "x", 1)]
