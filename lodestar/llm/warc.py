@@ -7,7 +7,9 @@ read as binary files, so that any store Spark reaches will do.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -61,7 +63,7 @@ def write_archives(df: DataFrame, path: str, page_id: str = "page_id", url: str
         ("Content-Type", F.lit("application/http;msgtype=response")),
     ], F.concat(http, F.when(again, F.lit("")).otherwise(F.col("body"))))
     request = _record(F.lit("request"), _urn(F.lit("request"), F.col("_row")), [("WARC-Date", when), uri, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/http;msgtype=request"))], get)
-    facts = F.concat(*(F.coalesce(F.concat(F.lit(f"{k}: "), v.cast("string"), F.lit("\r\n")), F.lit("")) for k, v in (("pageId", F.col("page_id")), ("payloadBytes", F.col("bytes")), ("refersToPageId", F.when(again, F.col("original"))))))
+    facts = F.concat(*(F.coalesce(F.concat(F.lit(f"{k}: "), v.cast("string"), F.lit("\r\n")), F.lit("")) for k, v in (("pageId", F.col("page_id")),)))
     metadata = _record(F.lit("metadata"), _urn(F.lit("metadata"), F.col("_row")), [("WARC-Date", when), uri, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))], facts)
     mean = d.agg(F.avg("bytes")).first()[0] or 0.0
     out = d.select(F.concat(request, F.lit(_END), response, F.lit(_END), metadata).alias("value"))
@@ -69,13 +71,17 @@ def write_archives(df: DataFrame, path: str, page_id: str = "page_id", url: str
 
 
 def _inflated(data: bytes) -> bytes:
+    """All gzip members, one after the other, in time linear in their size; what is no gzip stays as it is, and what a cut
+    or foreign end hides is left out."""
     if data[:2] != b"\x1f\x8b":
         return data
     out = []
-    while data[:2] == b"\x1f\x8b":  # members follow one another
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+        try:
+            while part := f.read1(1 << 20):
+                out.append(part)
+        except (EOFError, gzip.BadGzipFile, zlib.error):
+            pass
     return b"".join(out)
 
 
@@ -120,8 +126,8 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Every record of the archives below ``path``, with the payload's length and SHA-1 taken anew. A file is parsed in
-    one task: archives should stay within some hundred MB."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    one task, whatever its name: archives should stay within some hundred MB."""
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(partial(_read, with_payload=with_payload), RECORD)
 
 
@@ -134,22 +140,32 @@ def assemble(records: DataFrame) -> DataFrame:
     return main.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left").select("response", "request", "metadata")
 
 
+def with_originals(captures: DataFrame) -> DataFrame:
+    """Adds original (page_id, payload_bytes) to captures of this module's archives: for a revisit, of the response whose payload
+    has its digest, null if there is none. Digests are merged first; a hot one is split where Spark joins it."""
+    fact = F.col("metadata.fields")["pageId"].cast("long")
+    whole = captures.filter("response.warc_type = 'response'").groupBy(F.col("response.payload_sha1").alias("_d"))
+    whole = whole.agg(F.struct(F.max(fact).alias("page_id"), F.first("response.payload_bytes").alias("payload_bytes")).alias("original"))
+    digest = F.when(F.col("response.warc_type") == "revisit", F.col("response.payload_digest"))
+    return captures.withColumn("_k", digest).join(whole, F.col("_k") == F.col("_d"), "left").drop("_k", "_d")
+
+
 def archive_round_trip(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", with_payload: bool = False) -> DataFrame:
-    """Writes df as archives to the shared folder, reads them back and assembles the transactions."""
+    """Writes df as archives to the shared folder, reads them back and assembles the transactions, with the originals of
+    revisits: all facts come from the archives."""
     spark = df.sparkSession
     path = shared_dir(spark, "warc")
     write_archives(df, path, page_id, url, html)
-    return assemble(stored(read_records(spark, path, with_payload), "records"))
+    return with_originals(assemble(stored(read_records(spark, path, with_payload), "records")))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = archive_round_trip(table(spark, sf_dir, "pages"))
-    fact = lambda k: F.col("metadata.fields")[k].cast("long")
     revisit = F.col("response.warc_type") == "revisit"
     return c.select(
-        fact("pageId").alias("page_id"), F.when(revisit, fact("payloadBytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.col("metadata.fields")["pageId"].cast("long").alias("page_id"), F.when(revisit, F.col("original.payload_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("response.payload_digest")).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
-        F.col("response.warc_type").alias("record_type"), fact("refersToPageId").alias("refers_to"),
+        F.col("response.warc_type").alias("record_type"), F.when(revisit, F.col("original.page_id")).alias("refers_to"),
     )
 
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on small tables with nulls, ties, repeated rows and clashing names."""
 
 import collections
+import gzip
 import hashlib
 import math
 import struct
@@ -208,12 +209,26 @@ def test_warc_round_trip(spark):
     assert len(got) == len(rows)
     for r in got:
         assert r.request.concurrent_to == [r.response.record_id] and r.metadata.concurrent_to == [r.response.record_id]
-    by = collections.Counter((r.metadata.fields.get("pageId"), r.response.warc_type, r.metadata.fields.get("refersToPageId")) for r in got)
+    by = collections.Counter((r.metadata.fields.get("pageId"), r.response.warc_type, r.original and str(r.original.page_id)) for r in got)
     assert by == {("1", "revisit", "3"): 1, ("2", "revisit", "3"): 2, ("3", "response", None): 1, ("4", "response", None): 1, ("5", "response", None): 1, ("6", "response", None): 1, ("7", "response", None): 1, (None, "revisit", "3"): 1}
     whole = next(r for r in got if r.metadata.fields.get("pageId") == "3")
     assert bytes(whole.response.payload) == big.encode() and whole.response.payload_sha1 == hashlib.sha1(big.encode()).hexdigest() == whole.response.payload_digest
 
 
+def test_foreign_archives(spark, tmp_path):
+    def record(kind, name, body, *more):
+        heads = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{name}>", *more, f"Content-Length: {len(body)}"]
+        return ("WARC/1.0\r\n" + "\r\n".join(heads) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    made = [record("response", f"a{i}", http, "Content-Type: application/http; msgtype=response") + record("request", f"q{i}", b"GET /", f"WARC-Concurrent-To: <urn:a{i}>") for i in range(300)]
+    (tmp_path / "crawl.warc.gz").write_bytes(b"".join(map(gzip.compress, made)) + b"junk")
+    (tmp_path / "plain.warc").write_bytes(record("response", "b", http, "Content-Type: application/http; msgtype=response"))
+    got = {r.response.record_id: r for r in warc.assemble(warc.read_records(spark, str(tmp_path))).collect()}
+    assert len(got) == 301 and all(bytes(r.response.payload) == b"body" for r in got.values())
+    assert got["<urn:a7>"].request.record_id == "<urn:q7>" and got["<urn:b>"].request is None
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
