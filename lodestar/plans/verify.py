@@ -8,7 +8,8 @@ from pathlib import Path
 
 
 def rows(frame) -> list[str]:
-    frame = frame[sorted(frame.columns)]
+    frame = frame[sorted(frame.columns)].astype(object)
+    frame = frame.where(frame.notna(), None)
     return sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in frame.itertuples(index=False))
 
 
