@@ -473,3 +473,69 @@ def test_depleted_documents_go(spark):
     rows = [(i, line + "\n" + " ".join(f"v{i}_{j}" for j in range(30 if i % 2 else 3))) for i in range(80)]
     got = quality.quality_rules(docs(spark, rows)).collect()
     assert all(r.kept == bool(r.doc_id % 2) or r.base_failed for r in got) and not any(r.kept for r in got if r.doc_id % 2 == 0)
+
+
+def naive_ctw(train, text, depth, least):
+    """log10 probability of a coded text: every context's KT and weighted probabilities by recursion, decision by decision."""
+    pad = bytes([ctw.END]) * depth
+    counts = collections.defaultdict(collections.Counter)  # context, nearest byte first: next bytes
+    for t in train:
+        data = pad + t
+        for i in range(depth, len(data)):
+            for d in range(depth + 1):
+                counts[data[i - d : i][::-1]][data[i]] += 1
+    kept = {c for c, n in counts.items() if not c or sum(n.values()) >= least}
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    def split(c, bit, prefix):
+        own = [(s, n) for s, n in counts[c].items() if s >> (bit + 1) == prefix]
+        return sum(n for s, n in own if not s >> bit & 1), sum(n for s, n in own if s >> bit & 1)
+
+    def weighed(c, bit, prefix):
+        """(log weighted probability, log KT, counts, counts in contexts that are not kept, whether it has children)"""
+        a, b = split(c, bit, prefix)
+        below = [k for k in kept if len(k) == len(c) + 1 and k[: len(c)] == c]
+        ra, rb = a - sum(split(k, bit, prefix)[0] for k in below), b - sum(split(k, bit, prefix)[1] for k in below)
+        if not below:
+            return kt(a, b), kt(a, b), (a, b), (ra, rb), False
+        deep = kt(ra, rb) + sum(weighed(k, bit, prefix)[0] for k in below)
+        return np.logaddexp(kt(a, b), deep) - math.log(2), kt(a, b), (a, b), (ra, rb), True
+
+    total, data = 0.0, pad + text
+    for i in range(depth, len(data)):
+        path = [data[i - d : i][::-1] for d in range(depth + 1)]
+        path = path[: next((d for d, c in enumerate(path) if c not in kept), depth + 1)]
+        for bit in range(7, -1, -1):
+            p, carry = 0.0, 1.0
+            for c in path:
+                w, own, (a, b), (ra, rb), inner = weighed(c, bit, data[i] >> (bit + 1))
+                stop = math.exp(own - math.log(2) - w) if inner else 1.0
+                p, carry = p + carry * stop * (b + 0.5) / (a + b + 1), carry * (1 - stop)
+            p += carry * (rb + 0.5) / (ra + rb + 1)
+            total += math.log10(p if data[i] >> bit & 1 else 1 - p)
+    return total
+
+
+def test_ctw_scores_match_the_naive_ones(spark):
+    rows = [(1, "ab abba ab"), (2, "abba b"), (3, "bab a"), (4, "ba"), (5, "b")]
+    training = docs(spark, rows[:3])
+    for least in (1, 3):
+        got = {r.doc_id: r.score for r in ctw.lm_scores(docs(spark, rows), training, depth=2, least=least).collect()}
+        for i, t in rows:
+            assert got[i] == pytest.approx(naive_ctw([ctw.coded(x.encode()) for _, x in rows[:3]], ctw.coded(t.encode()), 2, least), rel=1e-4)
+
+
+def test_toxicity_is_the_softmax_of_mean_embeddings():
+    rng = np.random.default_rng(1)
+    keys = np.unique(toxicity.word_subwords([b"moron", b"scum"])[0])
+    weight, bias = rng.normal(0, 40, len(keys)), -1.5
+    table = dict(zip(keys.tolist(), weight.tolist(), strict=True))
+    texts = [b"", b"a moron, here", b"Scum moron fine", b"nothing at all", b"   "]
+    for t, got in zip(texts, toxicity.Scorer(keys, weight, bias).scores_of(texts), strict=True):
+        logit = bias
+        for w in t.split():
+            own = toxicity.word_subwords([w])[0].tolist()
+            logit += sum(table.get(k, 0.0) for k in own) / len(own) / len(t.split())
+        assert got == pytest.approx(1 / (1 + math.exp(-logit)))
