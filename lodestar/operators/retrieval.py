@@ -221,24 +221,35 @@ def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     )
 
 
-def hybrid(dense_list: DataFrame, keyword_list: DataFrame, exact_list: DataFrame, top_k: int = 5, policy: str = "exact_only", thresholded: bool = True) -> DataFrame:
+def hybrid(dense_list: DataFrame, keyword_list: DataFrame, exact_list: DataFrame, top_k: int = 5, policy: str = "exact_only", thresholded: bool = True, mode: str = "hybrid") -> DataFrame:
     """(query_id, id, score, rank, dense_score). Lists fuse in the order dense, keyword, exact. An id counts only if a
     dense or exact list has it, or any list does under policy ``allow`` or without threshold. A query with a threshold
-    and neither dense nor exact hits gets nothing. Each list is computed once, and all is one shuffle by query."""
+    and neither dense nor exact hits gets nothing, but in mode ``keyword`` under policy ``allow``. Each list is computed once, and all is one shuffle by query."""
     fused = fuse([dense_list, keyword_list, exact_list]).withColumn("strong", F.exists("lists", lambda x: x != 1))
     if thresholded:
-        fused = fused.withColumn("_open", F.max("strong").over(Window.partitionBy("query_id"))).filter("_open")
+        if not (mode == "keyword" and policy == "allow"):
+            fused = fused.withColumn("_open", F.max("strong").over(Window.partitionBy("query_id"))).filter("_open")
         if policy != "allow":
             fused = fused.filter("strong")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "first", "id")
     return fused.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= top_k).select("query_id", "id", "score", "rank", "dense_score")
 
 
-def rerank(candidates: DataFrame, question: str = "question", text: str = "text", top_k: int = 5, keep_exact: bool = True) -> DataFrame:
-    """Adds rerank_score (distinct characters of the question that the text has) and final_rank; at most top_k rows a
-    query. With keep_exact, exact rows take the first places, but the final order is the reranker's."""
+def rerank(candidates: DataFrame, question: str = "question", text: str = "text", top_k: int = 5, keep_exact: bool = True, min_score: int | None = None, prefix: tuple[str, str] | None = None) -> DataFrame:
+    """Adds rerank_score (distinct characters of the question that the text has), final_rank and degraded; at most top_k rows a
+    query. With keep_exact, exact rows take the first places, and need no min_score, but the final order is the reranker's.
+    prefix names columns of a document's name and section that the reranker reads before the text. Questions that can't
+    be scored, null ones, keep the first stage's order and are degraded."""
+    content = F.col(text)
+    if prefix:
+        content = F.concat(F.concat_ws(" ", *prefix), F.lit("："), content)
     letters = F.array_distinct(F.split(F.regexp_replace(F.lower(question), r"\s", ""), ""))
-    d = candidates.withColumn("rerank_score", F.size(F.filter(letters, lambda c: F.contains(F.lower(text), c))).cast("long"))
+    d = candidates.withColumn("_text", F.lower(content))
+    d = d.withColumn("rerank_score", F.size(F.filter(letters, lambda c: F.contains(F.col("_text"), c))).cast("long")).drop("_text")
+    d = d.withColumns({"degraded": F.col(question).isNull(), "rerank_score": F.when(F.col(question).isNotNull(), F.col("rerank_score"))})
+    if min_score is not None:
+        passes = (F.col("rerank_score") >= min_score) | F.col("degraded")
+        d = d.filter(passes | F.col("exact") if keep_exact else passes)
     order = [F.col("rerank_score").desc(), F.col("rank")]
     first = [F.col("exact").desc()] if keep_exact else []
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(*first, *order))).filter(F.col("_r") <= top_k).drop("_r")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import structure as st
 from lodestar.functions import text as tx
 from lodestar.functions import answers as aw
 from lodestar.operators import analytics as an
@@ -539,3 +540,42 @@ def rewrite_status(spark, d):
 def ordered_pages(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.char_length("text").cast("long").alias("n"))
     return c.orderBy("doc_id", "page")
+
+
+@query(f"WITH {_KEY}, {_EXA}, dn AS (SELECT query_id, id, score, rank FROM kw WHERE false), {_FUSE} {_HYBRID.format(where='')}")
+def keyword_mode(spark, d):
+    """Keyword search under policy ``allow``: keyword hits alone open the gate."""
+    exact = rt.ranked(rt.exact(_questions(spark, d), _chunks(spark, d)).withColumn("score", F.lit(1.0)))
+    found = rt.keyword(_questions(spark, d), _chunks(spark, d))
+    none = found.limit(0)
+    return rt.hybrid(none, found, exact, policy="allow", mode="keyword")
+
+
+@query(f"""WITH {_KEY}, {_EXA},
+c AS (SELECT k.query_id, k.id, k.rank, q.text AS question, x.lang || ' ' || x.source || '：' || x.text AS text, e.id IS NOT NULL AS exact FROM kw k JOIN benchmark q ON q.item_id = k.query_id JOIN documents x ON x.doc_id = k.id LEFT JOIN ex e ON e.query_id = k.query_id AND e.id = k.id),
+s AS (SELECT query_id, id, rank, exact, CAST(len(list_filter(list_distinct(string_split(regexp_replace(lower(question), '[\\s\\x0b]', '', 'g'), '')), lambda ch: contains(lower(text), ch))) AS BIGINT) AS rerank_score FROM c),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, rerank_score DESC, rank) AS r FROM s WHERE exact OR rerank_score >= 25 QUALIFY r <= 5)
+SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS final_rank FROM t""")
+def rerank_min_score(spark, d):
+    """Reranked with language and source before the text; exact rows need no score of 25."""
+    exact = rt.exact(_questions(spark, d), _chunks(spark, d)).withColumn("exact", F.lit(True))
+    found = rt.keyword(_questions(spark, d), _chunks(spark, d)).drop("score").join(exact, ["query_id", "id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    full = found.join(_questions(spark, d).withColumnRenamed("text", "question"), "query_id").join(docs, "id")
+    return rt.rerank(full, min_score=25, prefix=("lang", "source")).select("query_id", "id", "rerank_score", "final_rank")
+
+
+_CASES = "CASE query_id % 3 WHEN 0 THEN 'ellipsis' WHEN 1 THEN 'reference' ELSE 'ambiguous' END"
+
+
+@query(f"WITH {_RANKS}, k AS (SELECT query_id, rank, {_CASES} AS type FROM r WHERE type = 'answerable') SELECT CASE WHEN grouping(type) = 1 THEN 'all' ELSE type END AS type, count(*) AS n, {_RECALLS}, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM k WHERE type <> 'ambiguous' GROUP BY GROUPING SETS ((), (type))")
+def conversation_recall(spark, d):
+    """Recall by kind of follow-up question, ambiguous ones left out."""
+    return an.recall_report(_ranks(spark, d).filter("type = 'answerable'").withColumn("type", F.expr(_CASES)), skip=("no_answer", "ambiguous"))
+
+
+@query(None)
+def wrapped_lines(spark, d):
+    """SQL can't express the fold; tests hold it against goldens and a naive version."""
+    joined = st.join_wrapped(F.split(tx.clean_lines(F.col("text")), "\n"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(joined, "\n").alias("text"))

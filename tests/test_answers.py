@@ -36,6 +36,31 @@ def test_structure_predicates(spark):
     assert one(spark, st.is_list_item, "1. a", "一、b", "（二）c", "- d", "e") == [True, True, True, True, False]
 
 
+def naive_joined(lines):
+    import re
+
+    out, heads = [], (st.ARTICLE, st.CHAPTER, st.HEADING)
+    for line in lines:
+        if out and out[-1].strip() and line.strip() and not re.search("[。！？；：!?;:.][」』\"')）]*$", out[-1]) and not any(re.search(p, x) for p in heads for x in (out[-1], line)) and not re.search(st.LIST_ITEM, line):
+            rest = line.lstrip()
+            close = re.search("[A-Za-z]-$", out[-1]) or re.search(tx.CJK, out[-1][-1] + rest[0])
+            out[-1] += ("" if close else " ") + rest
+        else:
+            out.append(line)
+    return out
+
+
+def test_wrapped_lines(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [["請假應", "事先申請。", "次段"], ["full-", "time work", "goes on"], ["第一條", "內容", "1. item", "more"], ["a", "", "b"], [], ["x:", "y"]]
+    rows += [[rng.choice(["", "ab", "中文", "end.", "第三條", "- x", "# h", "c-", "條文。」", "第", "三條"]) for _ in range(rng.randint(0, 9))] for _ in range(80)]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "l array<string>").select(st.join_wrapped(F.col("l"))).collect()]
+    assert got == [naive_joined(r) for r in rows]
+    assert got[0] == ["請假應事先申請。", "次段"] and got[1] == ["full-time work goes on"] and got[2] == ["第一條", "內容", "1. item more"]
+
+
 def test_markers(spark):
     found = lambda c: F.transform(aw.citation_markers(c), aw.citation_numbers)
     texts = ["x [1]。", "x [1][3]。", "x [1, 3]。", "x [1、3]。", "x [1-3]。", "x ［１］。", "x［１，３］。", "x [資料不足]、[來源]。", "見 [本規章第三條之一關於家庭照顧假與事假併計之規定說明] 。", "[1-3, 5][9-2][1-99][99999999999][1-3-5]", "[99999999999999999999]", "[２–４]", "[1 ,]"]
