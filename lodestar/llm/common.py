@@ -164,20 +164,6 @@ def word_hashes(text: bytes) -> np.ndarray:
     return word_spans(text)[0]
 
 
-def slices(batch, column: int | str, rows: int, most: int):
-    """(part of the batch, its texts as bytes): of at most ``rows`` rows and, beyond one text, ``most`` bytes."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    texts = batch.column(column).cast(pa.large_binary())
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    at = 0
-    while at < batch.num_rows:
-        end = at + max(1, int(np.searchsorted(np.cumsum(size[at : at + rows]), most, "right")))
-        yield batch.slice(at, end - at), [x or b"" for x in texts.slice(at, end - at).to_pylist()]
-        at = end
-
-
 def as_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null: empty."""
     import pyarrow as pa

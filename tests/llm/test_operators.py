@@ -435,6 +435,17 @@ def test_fingerprints(spark, bucket):
     f = spark.createDataFrame([(r.fingerprint, r.edited_fingerprint, r.near_edited) for r in got], "a string, b string, n double")
     assert f.filter(fingerprint.likeness(f["a"], f["b"]) != f["n"]).count() == 0
     assert f.filter("a = b").select(fingerprint.differing_branches(f["a"], f["b"]).alias("d")).filter("size(d) > 0").count() == 0
+    for r in got:
+        a, b = ([x.split(",") for x in f.split("|")[1].split(";") if x] for f in (r.fingerprint, r.edited_fingerprint))
+        assert r.edit_sections == len({tuple(x) for x in a} - {tuple(x) for x in b})
+        if r.fingerprint == r.edited_fingerprint:
+            assert r.edit_section is None and r.edit_leaf is None and r.near_edited == 1
+            continue
+        at = next((i for i, x in enumerate(a) if b[i : i + 1] != [x]), len(a))
+        mine, theirs = ((x[at] if at < len(x) else []) for x in (a, b))
+        bare = [[y.split(":")[-1] for y in x] for x in (mine, theirs)]
+        leaf = next((i for i, x in enumerate(bare[0]) if bare[1][i : i + 1] != [x]), len(bare[0]))
+        assert (r.edit_section, r.edit_leaf) == (at, leaf)
     assert fingerprint.edited_fingerprints(docs(spark, [])).count() == 0
 
 
