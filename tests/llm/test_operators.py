@@ -533,8 +533,10 @@ def test_ctw_scores_match_the_naive_ones(spark):
     rows = [(1, "ab abba ab"), (2, "abba b"), (3, "bab a"), (4, "ba"), (5, "b")]
     training = docs(spark, rows[:3])
     for least in (1, 3):
-        got = {r.doc_id: r.score for r in ctw.lm_scores(docs(spark, rows), training, depth=2, least=least).collect()}
+        scored = ctw.lm_scores(docs(spark, rows), training, depth=2, least=least).collect()
+        got, bits = {r.doc_id: r.score for r in scored}, {r.doc_id: r.bits_per_byte for r in scored}
         for i, t in rows:
+            assert bits[i] == pytest.approx(-got[i] / math.log10(2) / (len(t) + 1))
             assert got[i] == pytest.approx(naive_ctw([ctw.coded(x.encode()) for _, x in rows[:3]], ctw.coded(t.encode()), 2, least), rel=1e-4)
 
 
