@@ -12,7 +12,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space between words, for Java's and RE2's regular expressions alike.
@@ -60,6 +60,27 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def ordered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df sorted by ``order`` (nulls first) over ranges and stored, with ``_at``: unique, and ascending in that order. The bits
+    above the 33rd tell the range."""
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    return stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), name)
+
+
+def positions(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds pos, the place of a row within its group by ``order``, from 0, and n, the group's rows. Ranges are sorted, and the
+    counts of each group in each range give the places where the ranges go on, so that no task sorts a whole group."""
+    d = ordered(df, [*group, *order], name).withColumn("_range", F.shiftright("_at", 33))
+    runs = d.groupBy("_range", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    w = Window.partitionBy(*group)
+    base = F.sum("_n").over(w.orderBy("_range")) - F.col("_n")
+    runs = runs.select(F.col("_range").alias("_r"), *(F.col(g).alias(f"_g_{g}") for g in group), (base - F.col("_first")).alias("_shift"), F.sum("_n").over(w).alias("n"))
+    same = (F.col("_range") == F.col("_r")) & F.lit(True)
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return d.join(runs, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias("pos"), "n")
+
+
 def filtered(df: DataFrame, condition: Column | str) -> DataFrame:
     """df.filter(condition), for a condition on computed columns. Spark would push it below the projections and compute
     their expressions anew, once for each use; a row number in the condition keeps it above them."""
@@ -206,3 +227,12 @@ def add_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], np.add.reduceat(counts, first)
+
+
+#: DuckDB has no crc32: its table of 256 numbers, as a CTE, and the checksum of an expression of ASCII characters by it.
+CRC_TABLE_SQL = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, beside crc_table."""
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, b: xor(a >> 8, t[CAST((xor(a, b) & 255) + 1 AS BIGINT)])), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, fingerprint, html, jaccard, mixing, packing, quality, toxicity, urls, warc
+from . import conversations, ctw, fingerprint, html, jaccard, linededup, manifest, mixing, packing, quality, toxicity, urls, warc
 
 QUERIES = {
     "op2_jaccard_join": jaccard.op2_jaccard_join,
@@ -15,6 +15,9 @@ QUERIES = {
     "op7_source_mixing": mixing.op7_source_mixing,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_line_dedup": linededup.op13_line_dedup,
 }
 
 SQL = {
@@ -22,4 +25,7 @@ SQL = {
     "op4_warc": warc.OP4_SQL,
     "op9_fingerprints": fingerprint.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op11_merkle_manifest": manifest.OP11_SQL,
+    "op12_conversation_repair": conversations.OP12_SQL,
+    "op13_line_dedup": linededup.OP13_SQL,
 }
