@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import CJK, token_estimate
+from lodestar.operators.chunking import Budget, chunk_documents
 
 
 def log_window(log: DataFrame, since: str, until: str, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -119,14 +120,18 @@ def context_blocks(hits: DataFrame, budget: int = 6000) -> DataFrame:
 
 
 def fixed_chunks(docs: DataFrame, size: int = 2000, stride: int = 1700) -> DataFrame:
-    """Fixed windows over texts without wide characters, natively: 600 tokens at 0.3 a character, 90 of overlap. A chunk
-    exists if it is the first or the one before it stops short of the end; white space at its ends is trimmed, and blank
-    chunks have no number. Texts with wide characters cost other tokens; chunking.chunk_documents cuts those."""
+    """(doc_id, chunk_index, content): windows of 600 tokens, 90 of overlap. Texts without wide characters, at 0.3 tokens a
+    character, are cut natively; those with some, which cost other tokens, as chunk_documents does. A chunk exists if it is the
+    first or the one before it stops short of the end; white space at its ends is trimmed, and blank chunks have no number.
+    """
     n = F.length("text")
     last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(stride))).cast("int")
     windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.btrim(F.substring(F.col("text"), i * stride + 1, F.lit(size)), F.lit(" \t\n\r\0\x0b")))
-    d = docs.filter(F.col("text").isNotNull() & ~F.col("text").rlike(CJK)).select("doc_id", F.posexplode(F.filter(windows, lambda x: x != "")).alias("i", "content"))
-    return d.select("doc_id", F.col("i").cast("long").alias("chunk_index"), "content")
+    full, wide = docs.filter(F.col("text").isNotNull()), F.col("text").rlike(CJK)
+    narrow = full.filter(~wide).select("doc_id", F.posexplode(F.filter(windows, lambda x: x != "")).alias("i", "content")).select("doc_id", F.col("i").cast("long").alias("chunk_index"), "content")
+    budget = Budget(round(size * 0.3), 1 - stride / size)
+    cut = chunk_documents(full.filter(wide).select("doc_id", "text", F.array().cast("array<struct<page:long,start:long>>").alias("pages")), "fixed", budget)
+    return narrow.unionByName(cut.select("doc_id", "chunk_index", "content"))
 
 
 def chunk_stats(chunks: DataFrame, limit: int = 600) -> DataFrame:

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import search_text
+from lodestar.operators.postings import keyword_hits
+from lodestar.operators.terms import holding, question_terms
 
 RRF_K, CANDIDATES = 60, 20
-#: Questions that one pass over the collection holds in memory, with vectors and with pairs; more take several passes.
-QUERY_BLOCK, PAIR_BLOCK = 4096, 256
+#: Questions with vectors that one pass over the collection holds in memory; more take several passes.
+QUERY_BLOCK = 4096
 #: Digits that scores are ranked by: beyond them, sums of equal terms in another order differ.
 DIGITS = 12
 
@@ -48,51 +50,59 @@ def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((score >= cut) & (score > -np.inf))
 
 
-def _vectors(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, matrix) of the vectors that have the most usual length of the batch."""
+def _vectors(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, matrix) of the vectors of that length."""
     size = np.diff(column.offsets.to_numpy())
     size[column.is_null().to_numpy(zero_copy_only=False)] = -1
-    full = size[size > 0]
-    if not len(full):
-        return np.empty(0, np.int64), np.empty((0, 0))
-    width = int(np.bincount(full).argmax())
     at = np.flatnonzero(size == width)
     first = column.offsets.to_numpy()[:-1][at]
     flat = column.values.to_numpy(zero_copy_only=False)
     return at, flat[first[:, None] + np.arange(width)].astype(float)
 
 
+def _groups(rows: list[dict]) -> list[tuple[str | None, int, np.ndarray, np.ndarray]]:
+    """(model, length, ids, unit vectors) of the questions, by model and length."""
+    groups: dict[tuple, list[dict]] = {}
+    for r in rows:
+        if r["vector"] and None not in r["vector"]:
+            groups.setdefault((r.get("model"), len(r["vector"])), []).append(r)
+    return [(model, size, np.array([r["query_id"] for r in own], np.int64), _unit(np.array([r["vector"] for r in own], float))) for (model, size), own in groups.items()]
+
+
 def dense(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, threshold: float | None = None, exclude_self: bool = True) -> DataFrame:
     """(query_id, id, score, rank): the k points of highest cosine, strictly above the threshold; score is rounded to six
     digits for output only.
 
-    queries (query_id, vector), points (id, vector). Each Arrow batch of points is multiplied by a block of questions and
-    sends on its own k best, so a question's list is reduced before it is shuffled. Vectors of another length than the
-    first question's, of norm 0, or that hold nulls match nothing.
+    queries (query_id, vector), points (id, vector); where both have a model, a question meets the points of its model only.
+    Each Arrow batch of points is multiplied by a block of questions and sends on its own k best, so a question's list is
+    reduced before it is shuffled. A question meets the points of its length. Vectors of norm 0, or that hold nulls,
+    match nothing.
     """
-    spark, parts, size = points.sparkSession, [], None
-    for rows in _blocks(queries.select("query_id", "vector").filter("vector IS NOT NULL")):
-        size = len(rows[0]["vector"]) if size is None else size
-        rows = [r for r in rows if len(r["vector"]) == size and None not in r["vector"]]
-        block = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), _unit(np.array([r["vector"] for r in rows], float).reshape(len(rows), size))))
+    spark, parts = points.sparkSession, []
+    models = ["model"] if "model" in queries.columns and "model" in points.columns else []
+    for rows in _blocks(queries.select("query_id", "vector", *models).filter("vector IS NOT NULL")):
+        block = spark.sparkContext.broadcast(_groups(rows))
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            qid, q = block.value
             for batch in batches:
-                at, m = _vectors(batch.column(1))
-                if not len(at) or m.shape[1] != q.shape[1] or not len(qid):
-                    continue
-                pid = batch.column(0).to_numpy()[at]
-                score = np.round(q @ _unit(m).T, DIGITS)
-                score[np.isnan(score)] = -np.inf
-                if exclude_self:
-                    score[qid[:, None] == pid[None, :]] = -np.inf
-                if threshold is not None:
-                    score[score <= threshold] = -np.inf
-                r, c = _best(score, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(pid[c]), pa.array(score[r, c])], ["query_id", "id", "score"])
-
-        parts.append(points.select(F.col("id").cast("long").alias("id"), "vector").filter("id IS NOT NULL").mapInArrow(search, "query_id long, id long, score double"))
+                for model, size, qid, q in block.value:
+                    at, m = _vectors(batch.column(1), size)
+                    if models:
+                        own = np.array([x == model for x in batch.column(2).take(pa.array(at)).to_pylist()], bool)
+                        at, m = at[own], m[own]
+                    if not len(at):
+                        continue
+                    pid = batch.column(0).to_numpy()[at]
+                    score = np.round(q @ _unit(m).T, DIGITS)
+                    score[np.isnan(score)] = -np.inf
+                    if exclude_self:
+                        score[qid[:, None] == pid[None, :]] = -np.inf
+                    if threshold is not None:
+                        score[score <= threshold] = -np.inf
+                    r, c = _best(score, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(pid[c]), pa.array(score[r, c])], ["query_id", "id", "score"])
+
+        parts.append(points.select(F.col("id").cast("long").alias("id"), "vector", *models).filter("id IS NOT NULL").mapInArrow(search, "query_id long, id long, score double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, id long, score double, rank long")
     out = parts[0]
@@ -106,106 +116,22 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
 
 
-def _pairs(text: str) -> np.ndarray:
-    """All overlapping pairs of characters as numbers."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    return (codes[:-1] << 21) | codes[1:]
-
-
-def _pair_counts(texts: list[str], known: np.ndarray) -> np.ndarray:
-    """(texts, known pairs) counts; known is sorted."""
-    found = [_pairs(t) for t in texts]
-    flat, row = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
-    if not len(known) or not len(flat):
-        return np.zeros((len(texts), len(known)))
-    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-    hit = known[at] == flat
-    return np.bincount(row[hit] * len(known) + at[hit], minlength=len(texts) * len(known)).reshape(len(texts), len(known)).astype(float)
-
-
 def keyword(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, id, score, rank) by tf-idf over character pairs: sum of tf x ln(1 + N / df) over a question's distinct pairs;
-    score is rounded to four digits for output only.
+    score is rounded to four digits for output only. The texts are read once for any usual number of questions."""
+    return ranked(keyword_hits(queries, chunks, k), k).withColumn("score", F.round("score", 4))
 
-    Document frequencies are counted in tasks and summed, one row for each distinct pair that some question has. Then each
-    batch of texts, as counts of pairs, is multiplied by a block of questions, and sends on each question's k best. Texts
-    are read twice and never shuffled. Null ids and texts match nothing.
-    """
-    spark = chunks.sparkSession
-    texts = chunks.select(F.col("id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL").select("id", search_text(F.col("text")).alias("t"))
-    n = chunks.count()
-    parts = []
-    for rows in _blocks(queries.filter("text IS NOT NULL").select("query_id", search_text(F.col("text")).alias("t")), PAIR_BLOCK):
-        asked = [np.unique(_pairs(r["t"])) for r in rows]
-        pairs = np.unique(np.concatenate(asked))
-        shared = spark.sparkContext.broadcast(pairs)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            df = np.zeros(len(shared.value), np.int64)
-            for batch in batches:
-                for start in range(0, batch.num_rows, 64):
-                    df += (_pair_counts(batch.column(0).slice(start, 64).to_pylist(), shared.value) > 0).sum(0)
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["pair", "n"])
-
-        found = texts.select("t").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-        weight = np.zeros(len(pairs))
-        weight[[r["pair"] for r in found]] = np.log(1 + n / np.array([r["n"] for r in found], float)) if found else 0
-        block = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), [np.searchsorted(pairs, own) for own in asked], weight))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, block=block) -> Iterator[pa.RecordBatch]:
-            (qid, asked, weight), known = block.value, shared.value
-            q = np.zeros((len(qid), len(known)))
-            for i, own in enumerate(asked):
-                q[i, own] = weight[own]
-            for batch in batches:
-                for start in range(0, batch.num_rows, 64):
-                    part = batch.slice(start, 64)
-                    tf = _pair_counts(part.column(1).to_pylist(), known)
-                    score = q @ tf.T
-                    score = np.round(score, 9)  # sums in another order differ beyond that
-                    score[score <= 0] = -np.inf
-                    r, c = _best(score, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(part.column(0).to_numpy()[c]), pa.array(score[r, c])], ["query_id", "id", "score"])
 
-        parts.append(texts.mapInArrow(search, "query_id long, id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out, k).withColumn("score", F.round("score", 4))
+def exact(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, id): chunks that contain a question's whole search text. Empty and null questions match nothing."""
+    whole = queries.select("query_id", F.array(search_text(F.coalesce("text", F.lit("")))).alias("terms"))
+    return holding(whole, chunks).select("query_id", "id").distinct()
 
 
-def exact(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, id): chunks that contain a question's whole search text. Texts stay where they are: each is searched for a
-    block's needles in place, and only hits are sent. Empty and null questions match nothing."""
-    spark, parts = chunks.sparkSession, []
-    texts = chunks.select(F.col("id").cast("long").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL").select("id", search_text(F.col("text")).alias("t"))
-    for rows in _blocks(queries.select("query_id", search_text(F.col("text")).alias("t")).filter("t <> ''")):
-        needles: dict[str, list[int]] = {}
-        for r in rows:
-            needles.setdefault(r["t"], []).append(r["query_id"])
-        shared = spark.sparkContext.broadcast(list(needles.items()))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            for batch in batches:
-                q, p = [], []
-                for pid, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for needle, ids in known:
-                        if needle in t:
-                            q += ids
-                            p += [pid] * len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(p, pa.int64())], ["query_id", "id"])
-
-        parts.append(texts.mapInArrow(search, "query_id long, id long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, id long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+def exact_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """(query_id, id, score, rank): chunks that hold any of a question's exact terms, by the number of terms, then id."""
+    terms = queries.filter("text IS NOT NULL").select("query_id", question_terms(F.col("text")).alias("terms"))
+    return ranked(holding(terms, chunks, k), k)
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

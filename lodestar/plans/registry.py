@@ -93,6 +93,25 @@ def keyword_bigram_topk(spark, d):
     return rt.keyword(_questions(spark, d), _chunks(spark, d))
 
 
+# Questions that quote two phrases of the benchmark's texts, which stand in few or many documents.
+_QUOTED = "'“' || substring(text, 9, 8) || '” and “' || substring(text, 31, 12) || '”'"
+_TERMS = rf"""
+dt AS MATERIALIZED (SELECT doc_id AS id, {_NORM.format(t="text")} AS t FROM documents),
+qt AS (SELECT item_id AS query_id, {_NORM.format(t=f"({_QUOTED})")} AS t FROM benchmark),
+qe AS (SELECT DISTINCT query_id, unnest(list_concat(list_filter(regexp_extract_all(t, '[a-z0-9]{{3,}}'), lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]')), regexp_extract_all(t, '[「『"“]([^」』"”]{{2,30}})[」』"”]', 1))) AS term FROM qt),
+et AS MATERIALIZED (SELECT query_id, id, CAST(count(*) AS DOUBLE) AS score FROM qe JOIN dt ON contains(dt.t, qe.term) GROUP BY ALL),
+ex AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM et QUALIFY rank <= 20)"""
+
+
+def _quoting(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.expr(_QUOTED).alias("text"))
+
+
+@query(f"WITH {_TERMS} SELECT query_id, id, score, rank FROM ex")
+def exact_terms_search(spark, d):
+    return rt.exact_search(_quoting(spark, d), _chunks(spark, d))
+
+
 @query(f"WITH {_KEY}, {_EXA} SELECT query_id, id FROM ex")
 def exact_phrase_match(spark, d):
     return rt.exact(_questions(spark, d), _chunks(spark, d))
@@ -460,9 +479,9 @@ def clean_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.clean_lines(F.col("text")).alias("text"))
 
 
-# Answers that cite: the start of each document with two markers made from its id; three references to the next ids.
+# Answers that cite: each document's text, with a marker made from its id in the middle and one behind it; three references to the next ids.
 _ANS = """
-an AS (SELECT doc_id AS answer_id, left(text, 100) || ' [' || (doc_id % 5) || '] and [' || (1 + doc_id % 3) || ', 9] .' AS answer, doc_id % 5 AS a, 1 + doc_id % 3 AS b FROM documents),
+an AS (SELECT doc_id AS answer_id, doc_id % 5 AS a, 1 + doc_id % 3 AS b FROM documents),
 rf AS (SELECT doc_id AS answer_id, CAST(n AS BIGINT) AS number, doc_id + n AS chunk_id FROM documents, range(1, 4) t(n)),
 mk AS (SELECT answer_id, 1 AS m, 0 AS p, a AS number FROM an UNION ALL SELECT answer_id, 2, 0, b FROM an UNION ALL SELECT answer_id, 2, 1, 9 FROM an),
 rs AS (SELECT mk.*, CASE WHEN rf.number IS NULL THEN 'out_of_range' WHEN rf.chunk_id NOT IN (SELECT doc_id FROM documents) THEN 'source_missing' END AS reason FROM mk LEFT JOIN rf USING (answer_id, number)),
@@ -473,12 +492,13 @@ rd AS (SELECT answer_id, coalesce(string_agg('[' || number || ']', '') FILTER (m
 def _resolved(spark, d):
     docs = table(spark, d, "documents")
     number = lambda x: x.cast("string")
-    answer = F.concat(F.left("text", F.lit(100)), F.lit(" ["), number(F.col("doc_id") % 5), F.lit("] and ["), number(1 + F.col("doc_id") % 3), F.lit(", 9] ."))
+    half = F.floor(F.length("text") / 2).cast("int")
+    answer = F.concat(F.left("text", half), F.lit(" ["), number(F.col("doc_id") % 5), F.lit("] "), F.substring(F.col("text"), half + 1, F.length("text")), F.lit(" and ["), number(1 + F.col("doc_id") % 3), F.lit(", 9] ."))
     refs = docs.select(F.col("doc_id").alias("answer_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).select("answer_id", F.col("n").cast("long").alias("number"), (F.col("answer_id") + F.col("n")).alias("chunk_id"))
     return ci.resolve_citations(docs.select(F.col("doc_id").alias("answer_id"), answer.alias("answer"), F.lit(False).alias("insufficient")), refs, docs.select(F.col("doc_id").alias("chunk_id")))
 
 
-@query(f"""WITH {_ANS}, w AS (SELECT rd.*, left(text, 100) || ' ' || one || ' and ' || two || ' .' AS t FROM rd JOIN documents ON doc_id = answer_id)
+@query(f"""WITH {_ANS}, w AS (SELECT rd.*, left(text, length(text) // 2) || ' ' || one || ' ' || substring(text, length(text) // 2 + 1) || ' and ' || two || ' .' AS t FROM rd JOIN documents ON doc_id = answer_id)
 SELECT answer_id, CASE WHEN one = '' OR two = '' THEN trim(regexp_replace(regexp_replace(t, '[ \\t　]+([。，、；：！？.,;:!?\\n])', '\\1', 'g'), '[ \\t　]+$', ''), ' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11)) ELSE t END AS answer, citations, n_invalid, citations = '' AS uncited FROM w""".replace("|| chr(0) ", ""))
 def citation_resolve(spark, d):
     return _resolved(spark, d).select("answer_id", "answer", F.array_join(F.transform("citations", lambda n: n.cast("string")), ",").alias("citations"), F.size("invalid").cast("long").alias("n_invalid"), "uncited")

@@ -1,8 +1,12 @@
 """Tables in which a key's rows are replaced as a whole: pages, chunks, vectors.
 
-Rows are only ever added, in a folder for each version; a second, small table says which keys a version wrote. A key's
-rows are those of its last version. So a write costs what it brings, not what is there; a version that is written again
-gives the same table; a reader never sees a half-written one, since keys are written last; and a key without rows is gone.
+Rows are only ever added, in a folder for each commit; a second, small table says which keys a commit wrote. A key's rows
+are those of its last commit. So a write costs what it brings, not what is there; a reader never sees a half-written one,
+since keys are written last; and a key without rows is gone.
+
+A commit is named by its writer, what it does and its number, and takes its place in the order when it is first begun. The
+same commit again, after a failure, writes the same folders and keeps its place, so that it undoes nothing that came later;
+writers of different names never meet in one folder, and commits that begin at once are ordered by name.
 """
 
 from __future__ import annotations
@@ -16,43 +20,89 @@ class VersionedTable:
         """schema: of the rows, as DDL; it holds the key."""
         self.spark, self.path, self.key, self.schema = spark, path, key, schema
 
-    def replace(self, rows: DataFrame, version: int, keys: DataFrame | None = None) -> None:
+    def replace(self, rows: DataFrame, version: int, keys: DataFrame | None = None, writer: str = "main") -> None:
         """Replaces the rows of ``keys`` (those of the rows, if not given) by ``rows``. Null keys are left out."""
-        own = (rows if keys is None else keys).select(self.key).filter(F.col(self.key).isNotNull()).distinct()
-        rows.filter(F.col(self.key).isNotNull()).write.mode("overwrite").parquet(f"{self.path}/rows/version={version}")
-        own.write.mode("overwrite").parquet(f"{self.path}/keys/version={version}")
-
-    def delete(self, keys: DataFrame, version: int) -> None:
-        own = keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct()
-        own.write.mode("overwrite").parquet(f"{self.path}/keys/version={version}")
+        own = (rows if keys is None else keys).select(self.key)
+        commit, place = self._begun(f"{writer}-replace-{version}")
+        if place is not None:
+            rows.filter(F.col(self.key).isNotNull()).withColumn("_place", F.lit(place)).write.mode("overwrite").parquet(f"{self.path}/rows/commit={commit}")
+            self._wrote(own, commit, place)
+
+    def delete(self, keys: DataFrame, version: int, writer: str = "main") -> None:
+        commit, place = self._begun(f"{writer}-delete-{version}")
+        if place is not None:
+            self._wrote(keys.select(self.key), commit, place)
+
+    def _wrote(self, keys: DataFrame, commit: str, place: int) -> None:
+        own = keys.filter(F.col(self.key).isNotNull()).distinct().withColumn("_place", F.lit(place))
+        own.write.mode("overwrite").parquet(f"{self.path}/keys/commit={commit}")
+
+    def _begun(self, commit: str) -> tuple[str, int | None]:
+        """The commit and its place: given once, in a file that only one writer can create. None for one that was compacted."""
+        fs, names = self._files("places")
+        taken = dict(reversed(x.split("@")) for x in names)  # commit: place
+        if commit not in taken:
+            places = [int(x) for x in taken.values()]
+            taken[commit] = str(max(places, default=0) + 1)
+            fs.create(self._at(f"places/{taken[commit]}@{commit}"), True).close()
+        done = max((int(x) for x in self._files("compacted")[1]), default=0)
+        place = int(taken[commit])
+        return commit, None if place <= done else place
+
+    def compact(self) -> None:
+        """Writes the live rows as one commit in place of all that are there, whose folders go. For when no writer is at work;
+        readers that began before must have ended. Commits from before do nothing if they are run again."""
+        fs, names = self._files("places")
+        if not names:
+            return
+        last = max(int(x.split("@")[0]) for x in names)
+        old = {part: self._files(part)[1] for part in ("rows", "keys")}
+        live, commit = self.read(), f"commit=compact-{last}"
+        if commit in old["keys"]:
+            return
+        live.withColumn("_place", F.lit(last)).write.mode("overwrite").parquet(f"{self.path}/rows/{commit}")
+        self._wrote(self.spark.read.schema(self.schema).parquet(f"{self.path}/rows/{commit}").select(self.key), f"compact-{last}", last)
+        for part, folders in old.items():
+            for x in folders:
+                fs.delete(self._at(f"{part}/{x}"), True)
+        fs.create(self._at(f"compacted/{last}"), True).close()
 
     def read(self) -> DataFrame:
-        if not self._there("keys"):
+        if not self._files("keys")[1]:
             return self.spark.createDataFrame([], self.schema)
         kind = next(f.dataType.simpleString() for f in self.spark.createDataFrame([], self.schema).schema if f.name == self.key)
-        last = self.spark.read.schema(f"`{self.key}` {kind}, version long").parquet(f"{self.path}/keys").groupBy(self.key).agg(F.max("version").alias("version"))
-        if not self._there("rows"):
+        keys = self.spark.read.schema(f"`{self.key}` {kind}, _place long, commit string").parquet(f"{self.path}/keys")
+        last = keys.groupBy(self.key).agg(F.max(F.struct("_place", "commit")).alias("_last")).select(self.key, "_last.commit")
+        if not self._files("rows")[1]:
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(f"{self.schema}, version long").parquet(f"{self.path}/rows")
-        return rows.join(last, [self.key, "version"], "left_semi").drop("version")
+        rows = self.spark.read.schema(f"{self.schema}, _place long, commit string").parquet(f"{self.path}/rows")
+        return rows.join(last, [self.key, "commit"], "left_semi").drop("commit", "_place")
+
+    def there(self) -> bool:
+        return bool(self._files("keys")[1])
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _there(self, part: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _files(self, part: str):
+        """The file system, and the names in a folder of the table."""
+        path = self._at(part)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs, [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
 
 
-def purge(tables: list[VersionedTable], keys: DataFrame, version: int) -> None:
+def purge(tables: list[VersionedTable], keys: DataFrame, version: int, writer: str = "main") -> None:
     """Removes keys from every table, such as one for each embedding model."""
     for t in tables:
-        t.delete(keys, version)
+        t.delete(keys, version, writer)
 
 
-def cascade(documents: DataFrame, ids: DataFrame, tables: list[VersionedTable], version: int, deletable: tuple[str, ...]) -> DataFrame:
+def cascade(documents: DataFrame, ids: DataFrame, tables: list[VersionedTable], version: int, deletable: tuple[str, ...], writer: str = "main") -> DataFrame:
     """Deletes documents (document_id, status_key) that may be deleted, in the order of ``tables`` (vectors, chunks, pages);
     gives the documents that are left."""
     gone = documents.join(ids.select("document_id"), "document_id", "left_semi").filter(F.col("status_key").isin(*deletable)).select("document_id")
     for t in tables:
-        t.delete(gone.withColumnRenamed("document_id", t.key), version)
+        t.delete(gone.withColumnRenamed("document_id", t.key), version, writer)
     return documents.join(gone, "document_id", "left_anti")
 
 
