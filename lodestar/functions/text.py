@@ -41,9 +41,10 @@ def token_estimate(text: Column, cjk: float = 1.0, other: float = 0.3) -> Column
 
 
 def clean_lines(text: Column, keeps_layout: bool = False) -> Column:
-    """Line ends to LF; NBSP and tabs to spaces, none at a line's end, and one for several behind a character. With
-    ``keeps_layout``, as for Markdown, lines stay as they are."""
-    t = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    """Half-width digits and letters; line ends to LF; NBSP and tabs to spaces, none at a line's end, and one for several behind
+    a character. With ``keeps_layout``, as for Markdown, lines stay as they are."""
+    t = F.when(text.rlike("[\uff0d-\uff5a]"), halfwidth(text)).otherwise(text)  # most texts have none
+    t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     if keeps_layout:
         return t
     return F.regexp_replace(F.regexp_replace(F.translate(t, "\u00a0\t", "  "), "(?m) +$", ""), r"(?<=\S) {2,}", " ")

@@ -88,11 +88,13 @@ def message_faults(messages: DataFrame) -> DataFrame:
 
 
 def turns(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, question, answer): user rows with an assistant row right behind them."""
+    """(conv_id, turn, question, answer): user rows with an assistant row right behind them. Where messages have a status,
+    answers that were interrupted make no turn."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     d = messages.filter(F.col("role").isin("user", "assistant"))
-    d = d.withColumns({"_r": F.lead("role").over(w), "answer": F.lead("text").over(w)})
-    return d.filter("role = 'user' AND _r = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+    status = F.lead("status").over(w) if "status" in messages.columns else F.lit(None).cast("string")
+    d = d.withColumns({"_r": F.lead("role").over(w), "_s": status, "answer": F.lead("text").over(w)})
+    return d.filter("role = 'user' AND _r = 'assistant' AND NOT _s <=> 'interrupted'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
 def recent_turns(messages: DataFrame, n: int = 5) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import clean_lines, line_signature
+from lodestar.functions.structure import join_wrapped
+from lodestar.functions.text import clean_lines, line_signature, squeeze_blank_lines
 
 #: Lines looked at from each edge of a page, and the pages a document needs.
 EDGE_LINES, LEAST_PAGES = 2, 3
@@ -42,3 +43,16 @@ def remove_headers_and_footers(pages: DataFrame) -> DataFrame:
     n = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
     d = _without_edge(_without_edge(d.join(n, "doc_id"), True), False)
     return d.select("doc_id", "page", F.array_join("lines", "\n").alias("text"))
+
+
+def normalised(pages: DataFrame, join_lines: bool = False) -> DataFrame:
+    """(doc_id, page, text): the pages as they are chunked. Half-width digits and letters, cleaned lines, no repeated headers and
+    footers, wrapped lines joined if ``join_lines``, and no run of blank lines. Documents with preserves_layout, if pages
+    have it, keep their lines but for half-width forms and blank runs. Null ids are left out."""
+    layout = F.coalesce("preserves_layout", F.lit(False)) if "preserves_layout" in pages.columns else F.lit(False)
+    d = pages.filter("doc_id IS NOT NULL").withColumn("_layout", layout)
+    plain = remove_headers_and_footers(d.filter("NOT _layout"))
+    kept = d.filter("_layout").select("doc_id", "page", clean_lines(F.coalesce("text", F.lit("")), keeps_layout=True).alias("text"))
+    if join_lines:
+        plain = plain.withColumn("text", F.array_join(join_wrapped(F.split("text", "\n")), "\n"))
+    return plain.unionByName(kept).withColumn("text", squeeze_blank_lines(F.col("text")))

@@ -70,8 +70,12 @@ def _groups(rows: list[dict]) -> list[tuple[str | None, int, np.ndarray, np.ndar
 
 
 def dense(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, threshold: float | None = None, exclude_self: bool = True) -> DataFrame:
-    """(query_id, id, score, rank): the k points of highest cosine, strictly above the threshold; score is rounded to six
-    digits for output only.
+    """(query_id, id, score, rank): dense_hits(), ranked; score is rounded to six digits for output only."""
+    return ranked(dense_hits(queries, points, k, threshold, exclude_self), k).withColumn("score", F.round("score", 6))
+
+
+def dense_hits(queries: DataFrame, points: DataFrame, k: int, threshold: float | None = None, exclude_self: bool = True) -> DataFrame:
+    """(query_id, id, score): among these rows are the k points of highest cosine of each question, strictly above the threshold.
 
     queries (query_id, vector), points (id, vector); where both have a model, a question meets the points of its model only.
     Each Arrow batch of points is multiplied by a block of questions and sends on its own k best, so a question's list is
@@ -104,11 +108,11 @@ def dense(queries: DataFrame, points: DataFrame, k: int = CANDIDATES, threshold:
 
         parts.append(points.select(F.col("id").cast("long").alias("id"), "vector", *models).filter("id IS NOT NULL").mapInArrow(search, "query_id long, id long, score double"))
     if not parts:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank long")
+        return spark.createDataFrame([], "query_id long, id long, score double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return ranked(out, k).withColumn("score", F.round("score", 6))
+    return out
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

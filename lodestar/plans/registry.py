@@ -15,6 +15,7 @@ from lodestar.operators import catalog as ca
 from lodestar.operators import chunking as ch
 from lodestar.operators import citations as ci
 from lodestar.operators import retrieval as rt
+from lodestar.operators import retrieve as re_
 from lodestar.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -599,3 +600,80 @@ def wrapped_lines(spark, d):
     """SQL can't express the fold; tests hold it against goldens and a naive version."""
     joined = st.join_wrapped(F.split(tx.clean_lines(F.col("text")), "\n"))
     return table(spark, d, "documents").select("doc_id", F.array_join(joined, "\n").alias("text"))
+
+
+# Retrieval as a whole: quoting questions whose vector is the point of their id, of its label's model; live documents only.
+_LIVE = rf"""
+dl AS MATERIALIZED (SELECT doc_id AS id, {_NORM.format(t="text")} AS t FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+qt AS MATERIALIZED (SELECT item_id AS query_id, {_NORM.format(t=f"({_QUOTED})")} AS t FROM benchmark),
+qg AS MATERIALIZED (SELECT DISTINCT query_id, substring(t, CAST(i AS BIGINT), 2) AS gram FROM qt, unnest(range(1, length(t))) AS u(i)),
+dg AS (SELECT id, substring(t, CAST(i AS BIGINT), 2) AS gram FROM dl, unnest(range(1, length(t))) AS u(i)),
+po AS MATERIALIZED (SELECT gram, id, count(*) AS tf FROM dg WHERE gram IN (SELECT gram FROM qg) GROUP BY ALL),
+we AS (SELECT gram, ln(1 + (SELECT count(*) FROM dl) / count(*)) AS w FROM po GROUP BY gram),
+ks AS (SELECT query_id, id, round(sum(tf * w), 9) AS score FROM po JOIN we USING (gram) JOIN qg USING (gram) GROUP BY ALL),
+kw AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ks @WORDS QUALIFY rank <= 20),
+qe AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(t, '[「『"“]([^」』"”]{{2,30}})[」』"”]', 1)) AS term FROM qt),
+et AS (SELECT query_id, id, CAST(count(*) AS DOUBLE) AS score FROM qe JOIN dl ON contains(dl.t, qe.term) GROUP BY ALL),
+ex AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM et @WORDS QUALIFY rank <= 20),
+v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+cs AS (SELECT q.id AS query_id, p.id, q.label, round(list_cosine_similarity(q.e, p.e), 12) AS score FROM v q JOIN v p ON q.label = p.label WHERE q.id IN (SELECT item_id FROM benchmark)),
+da AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs QUALIFY rank <= @K),
+dn AS MATERIALIZED (SELECT * FROM da WHERE score > 0.3 + 0.05 * label)"""
+_RETRIEVED = """
+un AS (SELECT query_id, id, rank, 0 AS list FROM dn UNION ALL SELECT query_id, id, rank, 1 FROM kw UNION ALL SELECT query_id, id, rank, 2 FROM ex),
+fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list * 1000000 + rank) AS first, bool_or(list <> 1) AS strong, bool_or(list = 2) AS exact FROM un GROUP BY ALL),
+ga AS (SELECT *, bool_or(strong) OVER (PARTITION BY query_id) AS open FROM fu),
+lv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS retrieval_rank FROM ga WHERE {where} AND id IN (SELECT id FROM dl) QUALIFY retrieval_rank <= {k}),
+ls AS (SELECT lv.query_id, lv.id, lv.score, coalesce(dn.rank, 0) AS dense_rank, round(dn.score, 6) AS dense_score, coalesce(kw.rank, 0) AS keyword_rank, round(kw.score, 4) AS keyword_score, exact, retrieval_rank
+       FROM lv LEFT JOIN dn ON dn.query_id = lv.query_id AND dn.id = lv.id LEFT JOIN kw ON kw.query_id = lv.query_id AND kw.id = lv.id)"""
+_BY_SCORE = "score DESC, first, id"
+
+
+def _live(k: int, words: str = "") -> str:
+    """The lists: k dense ones; keyword and exact ones unless they are shut off."""
+    return _LIVE.replace("@K", str(k)).replace("@WORDS", words)
+
+
+def _rank(column: str):
+    """0 for an id that the list lacks."""
+    return F.coalesce(column, F.lit(0)).cast("long").alias(column)
+
+
+def _retrieved(spark, d, **options):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.concat(F.lit("m"), F.col("label").cast("string")).alias("model"), "label")
+    labels = {r["label"] for r in e.select("label").distinct().collect()}
+    asked = _quoting(spark, d).join(e.select(F.col("id").alias("query_id"), "vector", F.concat("model", F.lit(":latest")).alias("model")), "query_id", "left").withColumn("model", F.coalesce("model", F.lit("m0")))
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), "text", "lang", "source")
+    o = re_.Options(thresholds={f"m{x}": 0.3 + 0.05 * x for x in labels | {0}}, **options)
+    return re_.retrieve(asked, chunks, _catalog(spark, d).drop("text"), e.drop("label"), o)
+
+
+@query(f"WITH {_live(20)}, {_RETRIEVED.format(order=_BY_SCORE, where='open AND strong', k=5)} SELECT * FROM ls")
+def retrieve_hybrid(spark, d):
+    return _retrieved(spark, d).rows.select("query_id", "id", "score", _rank("dense_rank"), "dense_score", _rank("keyword_rank"), "keyword_score", "exact", "retrieval_rank")
+
+
+@query(f"WITH {_live(5, 'WHERE false')}, {_RETRIEVED.format(order='first', where='open AND strong', k=5)} SELECT query_id, id, dense_score AS score, dense_rank, retrieval_rank FROM ls")
+def retrieve_dense(spark, d):
+    return _retrieved(spark, d, mode="dense").rows.select("query_id", "id", "score", _rank("dense_rank"), "retrieval_rank")
+
+
+@query(f"WITH {_live(0)}, {_RETRIEVED.format(order=_BY_SCORE, where='true', k=5)} SELECT query_id, id, score, keyword_rank, exact, retrieval_rank FROM ls")
+def retrieve_keyword(spark, d):
+    return _retrieved(spark, d, mode="keyword", policy="allow").rows.select("query_id", "id", "score", _rank("keyword_rank"), "exact", "retrieval_rank")
+
+
+@query(rf"""WITH {_live(20)}, {_RETRIEVED.format(order=_BY_SCORE, where='open AND strong', k=10)},
+qq AS (SELECT item_id, list_distinct(string_split(regexp_replace(lower({_QUOTED}), '[\s\x0b]', '', 'g'), '')) AS letters FROM benchmark),
+s AS (SELECT ls.*, CAST(len(list_filter(letters, lambda ch: contains(lower(d.text), ch))) AS BIGINT) AS rerank_score FROM ls JOIN documents d ON d.doc_id = ls.id JOIN qq ON item_id = query_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, rerank_score DESC, retrieval_rank) AS r FROM s WHERE retrieval_rank <= 8 QUALIFY r <= 8),
+h AS (SELECT query_id, id, retrieval_rank, rerank_score, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, retrieval_rank) AS f FROM t UNION ALL SELECT query_id, id, retrieval_rank, NULL, 1, retrieval_rank FROM s WHERE retrieval_rank > 8)
+SELECT query_id, id, retrieval_rank, coalesce(rerank_score, -1) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY part, f) AS final_rank FROM h QUALIFY final_rank <= 10""")
+def retrieve_reranked(spark, d):
+    """Of ten, eight are reranked, and the others follow as they were."""
+    return _retrieved(spark, d, rerank=True, rerank_candidates=8, top_k=10).rows.select("query_id", "id", "retrieval_rank", F.coalesce("rerank_score", F.lit(-1)).alias("rerank_score"), "final_rank")
+
+
+@query(f"WITH {_live(20)}, {_RETRIEVED.format(order=_BY_SCORE, where='open AND strong', k=5)}, m AS (SELECT query_id, round(max(score), 6) AS top FROM da GROUP BY query_id) SELECT item_id AS query_id, 0.3::DOUBLE + 0.05::DOUBLE * coalesce(v.label, 0) AS threshold, top AS dense_top_score, item_id NOT IN (SELECT query_id FROM ls) AS gated FROM benchmark LEFT JOIN v ON v.id = item_id LEFT JOIN m ON m.query_id = item_id")
+def retrieve_report(spark, d):
+    return _retrieved(spark, d).report
