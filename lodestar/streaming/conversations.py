@@ -67,7 +67,10 @@ class Windows(StatefulProcessor):
                 if m[1] == "user":
                     self.handle.registerTimer(m[4] + self.patience)
         kept = last_final(sorted(known.values(), key=lambda m: m[0]), self.n, timerValues.getCurrentWatermarkInMs())
-        self.messages.put(kept)
+        if kept:
+            self.messages.put(kept)
+        else:  # the store takes no empty lists
+            self.messages.clear()
         yield self._frame(key, [("turn", *w) for w in window_of(kept, self.n, self.budget)] or [("none", None, None, None, None)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
