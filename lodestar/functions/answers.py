@@ -101,7 +101,9 @@ def answer_passes(kind: Column, insufficient: Column, called: Column, n_citation
     return F.coalesce(good, F.lit(False))
 
 
-def json_count(document: Column, path: str) -> Column:
-    """A token count in a JSON text at a dotted path: 0 where it is missing; negative or not whole: null."""
+def json_count(document: Column, path: str, strict: bool = False) -> Column:
+    """A token count in a JSON text at a dotted path: 0 where it is missing; where it is negative or not whole null, or, if
+    ``strict``, an error."""
     got = F.get_json_object(document, "$." + path)
-    return F.when(got.isNull(), F.lit(0).cast("long")).when(got.rlike(r"^\d{1,18}$"), got.try_cast("long"))
+    wrong = F.raise_error(F.concat(F.lit(f"invalid token count {path}: "), got)).cast("long") if strict else F.lit(None).cast("long")
+    return F.when(got.isNull(), F.lit(0).cast("long")).when(got.rlike(r"^\d{1,18}$"), got.try_cast("long")).otherwise(wrong)

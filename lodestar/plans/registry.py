@@ -14,9 +14,11 @@ from lodestar.operators import analytics as an
 from lodestar.operators import catalog as ca
 from lodestar.operators import chunking as ch
 from lodestar.operators import citations as ci
+from lodestar.operators import evaluation as ev
 from lodestar.operators import retrieval as rt
 from lodestar.operators import retrieve as re_
 from lodestar.sources.tables import table
+from lodestar.streaming.twins import twins_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -677,3 +679,102 @@ def retrieve_reranked(spark, d):
 @query(f"WITH {_live(20)}, {_RETRIEVED.format(order=_BY_SCORE, where='open AND strong', k=5)}, m AS (SELECT query_id, round(max(score), 6) AS top FROM da GROUP BY query_id) SELECT item_id AS query_id, 0.3::DOUBLE + 0.05::DOUBLE * coalesce(v.label, 0) AS threshold, top AS dense_top_score, item_id NOT IN (SELECT query_id FROM ls) AS gated FROM benchmark LEFT JOIN v ON v.id = item_id LEFT JOIN m ON m.query_id = item_id")
 def retrieve_report(spark, d):
     return _retrieved(spark, d).report
+
+
+# Expected of question i: a document of the source and language of document i.
+_EXPECTED = f"""{_KEY}, hs AS (SELECT kw.query_id, kw.rank, kw.score, kw.id, x.source AS document, x.lang AS section FROM kw JOIN documents x ON x.doc_id = kw.id),
+fh AS (SELECT hs.query_id, min(rank) AS rank, round(min_by(CASE WHEN hs.id % 2 = 0 THEN hs.id / 10.0::DOUBLE ELSE round(score, 4) END, rank), 6) AS hit_score FROM hs JOIN documents e ON e.doc_id = hs.query_id AND e.source = document AND e.lang = section GROUP BY hs.query_id)"""
+
+
+def _expected_hits(spark, d):
+    docs = table(spark, d, "documents")
+    rows = rt.keyword(_questions(spark, d), _chunks(spark, d)).join(docs.select(F.col("doc_id").alias("id"), "source", "lang"), "id")
+    rows = rows.select("query_id", F.col("rank").alias("final_rank"), (21 - F.col("rank")).alias("retrieval_rank"), F.col("source").alias("document"), F.concat(F.lit("a / "), "lang").alias("section"), F.when(F.col("id") % 2 == 0, F.col("id") / 10.0).alias("dense_score"), "score")
+    wanted = F.array(F.struct(F.lit("nowhere").alias("document"), F.lit(None).cast("string").alias("section")), F.struct(F.col("source").alias("document"), F.col("lang").alias("section")))
+    e = _questions(spark, d).select("query_id").join(docs.select(F.col("doc_id").alias("query_id"), wanted.alias("expected")), "query_id")
+    return ev.first_hits(rows, e)
+
+
+@query(f"WITH {_EXPECTED} SELECT item_id AS query_id, coalesce(rank, 0) AS rank, hit_score, coalesce(21 - rank, 0) AS first_stage_rank FROM benchmark LEFT JOIN fh ON query_id = item_id")
+def expected_hits(spark, d):
+    return _expected_hits(spark, d).select("query_id", _rank("rank"), F.round("hit_score", 6).alias("hit_score"), _rank("first_stage_rank"))
+
+
+@query(f"""WITH {_EXPECTED}, q AS (SELECT item_id % 4 = 0 AS empty, (SELECT max(score) FROM kw WHERE query_id = item_id) > 5000 AS has, rank <= 5 AS ctx FROM benchmark LEFT JOIN fh ON query_id = item_id),
+l AS (SELECT 'no_answer_rejected' AS line, empty AS whole, NOT has AS good FROM q UNION ALL SELECT 'answerable_passed', NOT empty, has FROM q UNION ALL SELECT 'answerable_in_context', NOT empty, ctx FROM q)
+SELECT line, count(*) FILTER (whole AND good) AS right, count(*) FILTER (whole) - count(*) FILTER (whole AND good) AS wrong FROM l GROUP BY line""".replace("AS right, count", 'AS "right", count'))
+def threshold_report(spark, d):
+    top = rt.keyword(_questions(spark, d), _chunks(spark, d)).groupBy("query_id").agg((F.max("score") > 5000).alias("has_candidates"))
+    q = _expected_hits(spark, d).join(top, "query_id", "left").select(F.when(F.col("query_id") % 4 == 0, "no_answer").otherwise("exact").alias("type"), "has_candidates", (F.col("rank") <= 5).alias("in_context"))
+    return ev.threshold_report(q)
+
+
+@query(f"WITH {_COS.format(where='')}, t AS (SELECT query_id, round(max(score), 6) AS top, label % 2 = 1 AS answerable FROM dn JOIN embeddings ON vec_id = query_id GROUP BY query_id, label) SELECT answerable, count(*) AS n, round(min(top), 6) AS least, round(avg(top), 6) AS mean, round(max(top), 6) AS most FROM t GROUP BY answerable")
+def score_distribution(spark, d):
+    """Questions of an even label have no answer."""
+    types = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.when(F.col("label") % 2 == 0, "no_answer").otherwise("exact").alias("type"))
+    top = rt.dense(_query_vectors(spark, d), _points(spark, d), k=1).select("query_id", F.col("score").alias("top_score"))
+    return ev.score_distribution(top.join(types, "query_id"))
+
+
+@query(f"""WITH {_ANS}, h AS (SELECT answer_id, bool_or(reason IS NULL AND chunk_id % 2 = 0) AS hit FROM rs LEFT JOIN rf USING (answer_id, number) GROUP BY answer_id),
+a AS (SELECT rd.*, coalesce(hit, false) AS hit, answer_id % 7 <> 0 AS answered, answer_id % 5 = 0 AS empty, len(list_filter(string_split(citations, ','), lambda x: x <> '')) AS c FROM rd JOIN h USING (answer_id)),
+i AS (SELECT count(*) FILTER (reason = 'out_of_range') AS o, count(*) FILTER (reason = 'source_missing') AS m FROM rs)
+SELECT count(*) FILTER (answered) AS answered, round(count(*) FILTER (answered AND c > 0)::DOUBLE / count(*) FILTER (answered), 6) AS citation_rate, round(count(*) FILTER (answered AND hit)::DOUBLE / count(*) FILTER (answered), 6) AS hit_rate,
+       round(avg(c) FILTER (answered), 6) AS mean_citations, CAST(0 AS BIGINT) AS insufficient_answer, any_value(o) AS out_of_range, any_value(m) AS source_missing, CAST(0 AS BIGINT) AS non_numeric, count(*) FILTER (empty) AS no_answer, count(*) FILTER (empty AND c = 0) AS no_answer_without_sources FROM a, i""")
+def citation_metrics(spark, d):
+    hits = citation_hit(spark, d)
+    kind = F.when(F.col("answer_id") % 5 == 0, "no_answer").otherwise("exact")
+    a = _resolved(spark, d).join(hits, "answer_id").select(kind.alias("type"), F.when(F.col("answer_id") % 7 != 0, "answered").otherwise("insufficient_by_llm").alias("status"), "citations", "invalid", "hit")
+    return ev.citation_metrics(a)
+
+
+@query(f"""WITH {_TURNS}, r AS (SELECT *, CASE turn % 3 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'fallback_empty' ELSE 'rewritten' END AS status FROM t)
+SELECT count(*) AS rewritten, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'fallback_empty') AS fallbacks, count(*) FILTER (back > 2) AS shortened, CAST(quantile_disc(length(question), 0.5) AS DOUBLE) AS rewrite_p50, CAST(quantile_disc(length(question), 0.95) AS DOUBLE) AS rewrite_p95,
+       CAST(round(avg(length(answer))) AS BIGINT) AS retrieval_mean, count(*) FILTER (length(answer) > 100) AS cut, max(length(question) + length(answer)) AS most_rewrite_tokens, max(length(answer)) AS most_input_tokens FROM r""")
+def conversation_costs(spark, d):
+    """Lengths stand for times and tokens."""
+    t = an.recent_turns(table(spark, d, "conversations"))
+    q, a = F.char_length("question").cast("long"), F.char_length("answer").cast("long")
+    status = F.when(F.col("turn") % 3 == 0, "unchanged").when(F.col("turn") % 3 == 1, "fallback_empty").otherwise("rewritten")
+    return ev.conversation_costs(t.select(status.alias("status"), q.alias("rewrite_ms"), a.alias("retrieval_ms"), F.when(a > 100, "length").otherwise("stop").alias("finish"), (q + a).alias("rewrite_tokens"), a.alias("input_tokens"), F.lit(2).alias("kept_turns"), "back").withColumnRenamed("back", "window_turns"))
+
+
+_POINTS_OF = "SELECT CASE WHEN vec_id % 50 = 0 THEN vec_id + 1000000 ELSE vec_id END AS document_id FROM embeddings WHERE vec_id % 10 <> 3"
+
+
+@query(f"WITH {_CHUNKS}, p AS (SELECT document_id, count(*) AS n_points FROM ({_POINTS_OF}) GROUP BY 1), c AS (SELECT doc_id, count(*) AS n_chunks FROM ch GROUP BY 1) SELECT coalesce(d.doc_id, document_id) AS document_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_points, 0) AS n_points, CASE WHEN d.doc_id IS NULL THEN 'orphan' WHEN coalesce(n_chunks, 0) = coalesce(n_points, 0) THEN 'equal' WHEN coalesce(n_points, 0) = 0 THEN 'not_indexed' ELSE 'mismatch' END AS result FROM documents d FULL JOIN p ON document_id = d.doc_id LEFT JOIN c ON c.doc_id = coalesce(d.doc_id, document_id)")
+def index_check(spark, d):
+    """One point a vector, some of which are missing and some moved to documents that are not there."""
+    v = table(spark, d, "embeddings").filter("vec_id % 10 <> 3").select(F.when(F.col("vec_id") % 50 == 0, F.col("vec_id") + 1000000).otherwise(F.col("vec_id")).alias("document_id"))
+    return ev.index_check(table(spark, d, "documents").select(F.col("doc_id").alias("document_id")), _indexed_chunks(spark, d), v)
+
+
+@query(f"""WITH {_KEY}, b AS (SELECT query_id, rank, '[' || rank || '] ' || regexp_replace(text, '<(/?)reference>', '＜\\1reference＞', 'gi') AS block FROM kw JOIN documents ON doc_id = id),
+s AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank) <= 6000 OR rank = 1 AS stays FROM b) SELECT query_id, string_agg(block, chr(10) ORDER BY rank) FILTER (stays) AS context, count(*) FILTER (stays) AS refs, count(*) FILTER (NOT stays) AS dropped FROM s GROUP BY query_id""")
+def reference_context(spark, d):
+    hits = rt.keyword(_questions(spark, d), _chunks(spark, d)).join(_chunks(spark, d), "id")
+    return ev.reference_context(hits).withColumn("refs", F.size("refs").cast("long"))
+
+
+@query("SELECT a.doc_id AS document_id, b.doc_id AS twin_id FROM documents a JOIN documents b ON sha256(coalesce(a.text, '')) = sha256(coalesce(b.text, '')) AND a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0")
+def twin_documents(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return twins_of(docs.filter("document_id % 100 = 0"), docs)
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, CAST(length(content) AS BIGINT) AS char_count, CAST(ceil(length(content) * 0.3::DOUBLE) AS BIGINT) AS token_count FROM ch ORDER BY doc_id, chunk_index")
+def ordered_chunks(spark, d):
+    c = an.fixed_chunks(table(spark, d, "documents"))
+    return c.select("doc_id", "chunk_index", F.char_length("content").cast("long").alias("char_count"), tx.token_estimate(F.col("content")).alias("token_count")).orderBy("doc_id", "chunk_index")
+
+
+@query(rf"""WITH {_ASM}, w AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page) AS text FROM st GROUP BY doc_id),
+n AS (SELECT doc_id, text, CAST(unnest(range(0, greatest(0, CAST(ceil((length(text) - 400) / 340.0) AS BIGINT)) + 1)) AS BIGINT) * 340 AS a FROM w WHERE text <> ''),
+k AS (SELECT doc_id, a, substring(text, a + 1, 400) AS part FROM n),
+z AS (SELECT doc_id, a + length(part) - length(ltrim(part, chr(32) || chr(9) || chr(10) || chr(13) || chr(11))) AS b, trim(part, chr(32) || chr(9) || chr(10) || chr(13) || chr(11)) AS c FROM k),
+g AS (SELECT z.doc_id, CAST(ceil(length(c) * 0.3::DOUBLE) AS BIGINT) AS t, (SELECT max(page) FROM st WHERE st.doc_id = z.doc_id AND st.text <> '' AND st.start <= b) AS p, (SELECT max(page) FROM st WHERE st.doc_id = z.doc_id AND st.text <> '' AND st.start <= b + length(c) - 1) AS q FROM z WHERE c <> '')
+SELECT doc_id, count(*) AS n, min(t) AS least, round(avg(t), 6) AS mean, max(t) AS most, count(*) FILTER (t > 100) AS over, count(*) FILTER (q > p) AS across FROM g GROUP BY doc_id""")
+def chunk_page_spread(spark, d):
+    """Conversations as documents, turns as pages, in windows of 400 characters that overlap by 60."""
+    return ev.page_spread(ch.chunk_documents(_assembled(spark, d), "fixed", ch.Budget(120, 0.15, 0)), limit=100)

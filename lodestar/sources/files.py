@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,9 +41,17 @@ def form_feed_pages(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(parts).alias("i", "text")).select("doc_id", (F.col("i") + 1).cast("long").alias("page"), "text")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, text): the lines of text files with their numbers, from 1. Files are read in splits by as many tasks as they
+    need: the splits' numbers of lines, added up in order, tell where each split's numbers begin."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("_at"))
+    counts = rows.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split")) - F.col("n")
+    begins = counts.select(F.col("path").alias("_path"), F.col("split").alias("_split"), (before - F.col("first") + 1).alias("_shift"))
+    return rows.join(begins, (F.col("path") == F.col("_path")) & (F.col("split") == F.col("_split"))).select("path", (F.col("_at") + F.col("_shift")).alias("line"), "text")
+
+
 def json_line_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(path, line, text) of the lines that are not blank and no JSON of the schema. Lines are counted within a file, which one
-    task reads: for question sets, not for corpora."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("i", "text"))
+    """(path, line, text) of the lines that are not blank and no JSON of the schema, such as QUESTION or CONVERSATION."""
     bad = F.from_json("text", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull()
-    return files.filter("trim(text) <> ''").filter(bad).select("path", (F.col("i") + 1).cast("long").alias("line"), "text")
+    return numbered_lines(spark, path).filter("trim(text) <> ''").filter(bad)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lodestar.functions.text import search_text
 from lodestar.operators.chunking import CHUNK, Budget, assembled, chunk_documents
 from lodestar.sources.versioned import VersionedTable
 
 
 def chunk_table(spark: SparkSession, path: str) -> VersionedTable:
-    return VersionedTable(spark, path, "doc_id", CHUNK)
+    return VersionedTable(spark, path, "doc_id", f"{CHUNK}, search_text string")
 
 
 def ingest_chunks(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, order: str = "version", budget: Budget = Budget()) -> StreamingQuery:
@@ -22,6 +23,7 @@ def ingest_chunks(spark: SparkSession, source: str, schema: str, target: str, ch
     def write(batch: DataFrame, number: int) -> None:
         latest = batch.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct(F.col(order).alias("o"), "text")).alias("m"))
         pages = latest.select("doc_id", F.lit(1).alias("page"), F.col("m.text").alias("text"))
-        chunk_table(spark, target).replace(chunk_documents(assembled(pages), budget=budget), number, pages)
+        chunks = chunk_documents(assembled(pages), budget=budget).withColumn("search_text", search_text(F.col("content")))
+        chunk_table(spark, target).replace(chunks, number, pages, "ingest")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
