@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.structure import ARTICLE, CHAPTER, HEADING
@@ -27,6 +27,8 @@ _SENTENCE_SIGN = re.compile(r"[。！？；，,.!?;]")
 #: White space that chunks and titles lose at their ends, and the longest title beside an article's number (fixed values).
 BLANK, TITLE_CHARS = " \t\n\r\0\x0b", 20
 CHUNK = "doc_id long, chunk_index long, content string, char_count long, token_count long, page_start long, page_end long, section string, chunk_strategy string"
+#: Chunks that a task holds before it sends them on.
+SENT = 2000
 
 Span = tuple[int, int]
 
@@ -198,6 +200,27 @@ def page_at(pages, offset):
     return F.coalesce(F.element_at(F.filter(pages, lambda p: p["start"] <= offset), -1)["page"], F.get(pages, F.lit(0))["page"], F.lit(1).cast("long"))
 
 
+def pages_at(offsets: DataFrame, pages: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """offsets (doc_id, at, ...) with page: page_at() where the pages (doc_id, page, start) are rows, however many a document
+    has. Offsets and starts are sorted together, within stretches of ``span`` characters, and the last page before a stretch is
+    carried into it; so neither is paired with the other, and a long document is many groups. Null ids have page 1."""
+    keys = ["doc_id", "_stretch"]
+    stretch = lambda c: F.floor(F.col(c) / span).alias("_stretch")
+    p = pages.filter("doc_id IS NOT NULL").select("doc_id", "page", "start", stretch("start"))
+    o = offsets.withColumn("_stretch", F.floor(F.col("at") / span)).withColumn("_row", F.struct(*offsets.columns))
+    both = o.select("doc_id", "_stretch", F.col("at").alias("_pos"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("page"), "_row").unionByName(
+        p.select("doc_id", "_stretch", F.col("start").alias("_pos"), F.lit(0).alias("_kind"), F.col("page").cast("long").alias("page")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_here", F.last("page", ignorenulls=True).over(w)).filter("_kind = 1")
+    ends = p.groupBy(*keys).agg(F.max_by("page", "start").cast("long").alias("_end")).unionByName(o.filter("doc_id IS NOT NULL").select(*keys).distinct(), allowMissingColumns=True)
+    ends = ends.groupBy(*keys).agg(F.max("_end").alias("_end"))
+    before = Window.partitionBy("doc_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    first = p.groupBy("doc_id").agg(F.min_by("page", "start").cast("long").alias("_first"))
+    found = found.join(carried, keys, "left").join(first, "doc_id", "left")
+    return found.select("_row.*", F.coalesce("_here", "_carried", "_first", F.lit(1).cast("long")).alias("page"))
+
+
 def _page(starts: list[int], numbers: list[int], offset: int) -> int:
     return numbers[max(0, bisect.bisect_right(starts, offset) - 1)] if numbers else 1
 
@@ -207,6 +230,9 @@ def chunk_documents(texts: DataFrame, strategy: str = "structure", budget: Budge
     label = budget.label(strategy)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in CHUNK.split(", ")]
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in CHUNK.split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
         for batch in batches:
             rows = []
             for doc_id, text, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -214,8 +240,9 @@ def chunk_documents(texts: DataFrame, strategy: str = "structure", budget: Budge
                 packer = Packer(text or "", budget)
                 for i, (a, b, section) in enumerate(chunk_spans(text or "", strategy, budget)):
                     rows.append((doc_id, i, text[a:b], b - a, packer.cost(a, b), _page(starts, numbers, a), _page(starts, numbers, max(a, b - 1)), section, label))
-            names = [x.split()[0] for x in CHUNK.split(", ")]
-            kinds = [pa.string() if x.endswith("string") else pa.int64() for x in CHUNK.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                    if len(rows) == SENT:
+                        yield made(rows)
+                        rows = []
+            yield made(rows)
 
     return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "pages").mapInArrow(cut, CHUNK)

@@ -454,6 +454,13 @@ def page_of_offset(spark, d):
     return a.select("doc_id", "at", ch.page_at(F.col("pages"), F.col("at")).alias("page"))
 
 
+@query(f"WITH {_ASM} SELECT c.conv_id AS doc_id, c.turn * 100 AS at, coalesce(max(page) FILTER (start <= c.turn * 100 AND st.text <> ''), min(page) FILTER (st.text <> ''), 1) AS page FROM conversations c LEFT JOIN st ON st.doc_id = c.conv_id GROUP BY c.conv_id, c.turn")
+def pages_of_offsets(spark, d):
+    """The page of every hundredth character of an assembled text, as many as there are turns."""
+    offsets = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 100).alias("at"))
+    return ch.pages_at(offsets, _assembled(spark, d).select("doc_id", F.inline("pages")), 256)
+
+
 @query(None)
 def chunk_structure(spark, d):
     """SQL can't express the packing; tests hold it against goldens and a naive version."""

@@ -109,3 +109,22 @@ def test_files(spark, tmp_path):
     assert values(pages, "doc_id", "page") == [(1, 1, "a"), (1, 2, ""), (1, 3, "b"), (2, 1, "c")]
     (tmp_path / "q.jsonl").write_text('{"id": "a"}\n\n{bad\n')
     assert [(r.line, r.text) for r in fl.json_line_errors(spark, str(tmp_path / "q.jsonl"), "id STRING").collect()] == [(3, "{bad")]
+
+
+def test_documents_as_a_source(spark, tmp_path):
+    from lodestar.sources.documents import register_documents
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfhi")
+    (tmp_path / "b.md").write_bytes("中".encode("cp950"))
+    (tmp_path / "sub" / "c.txt").write_bytes(b"\xff\xff")
+    (tmp_path / "sub" / "d.pages").write_bytes(b"one\f\fthree\f")
+    (tmp_path / "e.bin").write_bytes(b"x")
+    (tmp_path / "f.txt").write_bytes(b"x" * 200)
+    register_documents(spark)
+    read = lambda **o: spark.read.format("lodestar_documents").options(**o).load(str(tmp_path))
+    got = sorted((r.path.rpartition("/")[2], r.page, r.text, r.preserves_layout, r.error) for r in read(most=100).collect())
+    assert got == [("a.txt", 1, "hi", False, None), ("b.md", 1, "中", True, None), ("c.txt", None, None, False, "encoding"), ("d.pages", 1, "one", False, None), ("d.pages", 2, "", False, None), ("d.pages", 3, "three", False, None), ("e.bin", None, None, None, "no parser"), ("f.txt", None, None, False, "size")]
+    assert read(bytes=1).rdd.getNumPartitions() == 6 and read().rdd.getNumPartitions() == 1
+    text = {(r.path.rpartition("/")[2], r.text) for r in read().filter("error IS NULL AND NOT path LIKE '%pages'").collect()}
+    assert text == {(r.path.rpartition("/")[2], r.text) for r in fl.text_pages(spark, str(tmp_path)).filter("error IS NULL").collect()}

@@ -99,3 +99,18 @@ def test_chunk_documents(spark):
     assert [(r.chunk_index, r.page_start, r.page_end, r.section, r.token_count) for r in got] == [(0, 2, 2, None, 9), (1, 4, 4, "第一條", 4)]
     assert got[0].chunk_strategy == "structure_v2:max600:ov15"
     assert ch.chunk_documents(ch.assembled(pages.limit(0))).count() == 0
+
+
+def test_pages_of_rows(spark):
+    rng = random.Random(3)
+    pages = [(d, i + 1, s) for d in (1, 2, 3) for i, s in enumerate(sorted(rng.sample(range(5, 3000), 12)))]
+    offsets = [(d, rng.randrange(0, 3500), i) for i, d in enumerate([1, 2, 3, 4, None] * 30)]
+    p = spark.createDataFrame(pages, "doc_id long, page int, start long")
+    o = spark.createDataFrame(offsets, "doc_id long, at long, k int")
+    for span in (64, 1 << 20):
+        got = {r.k: r.page for r in ch.pages_at(o, p, span).collect()}
+        for d, at, k in offsets:
+            own = [(s, n) for e, n, s in pages if e == d]
+            want = max([x for x in own if x[0] <= at], default=min(own, default=(0, 1)))[1]
+            assert got[k] == want
+        assert len(got) == len(offsets)
