@@ -41,15 +41,37 @@ def _bucket(pairs: np.ndarray) -> np.ndarray:
     return (pairs ^ (pairs >> 21)) % BUCKETS
 
 
+def _places(known: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The places of pairs in ``known``, -1 for others. Pairs of ASCII characters are looked up in a table."""
+    if not len(known):
+        return np.full(len(pairs), -1)
+    table = np.full(1 << 14, -1)
+    ascii_known = np.flatnonzero((known >> 21 < 128) & (known & 0x1FFFFF < 128))
+    table[(known[ascii_known] >> 21 << 7) | (known[ascii_known] & 127)] = ascii_known
+    first, second = pairs >> 21, pairs & 0x1FFFFF
+    plain = (first | second) < 128
+    out = np.where(plain, table[((first << 7) | second) & 0x3FFF], -1)
+    other = np.flatnonzero(~plain)
+    if len(other):
+        at = np.minimum(np.searchsorted(known, pairs[other]), len(known) - 1)
+        out[other] = np.where(known[at] == pairs[other], at, -1)
+    return out
+
+
 def _postings(texts: list[str], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(pair, place, count) of the pairs (those in ``known``, sorted, if given), by pair and place; and the longest text."""
     found = [pairs_of(t) for t in texts]
     flat, row = np.concatenate(found) if found else np.empty(0, np.int64), np.repeat(np.arange(len(found)), [len(x) for x in found])
     if known is not None:
-        at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-        hit = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+        at = _places(known, flat)
+        hit = at >= 0
         key = at[hit] * len(found) + row[hit]
-        key, count = np.unique(key, return_counts=True)
+        if len(known) * len(found) <= 8 * len(key):  # dense enough to be counted in a table
+            table = np.bincount(key, minlength=1)
+            key = np.flatnonzero(table)
+            count = table[key]
+        else:
+            key, count = np.unique(key, return_counts=True)
         return known[key // len(found)] if len(key) else key, key % max(len(found), 1), count, max(map(len, found), default=0)
     own, at = np.unique(flat, return_inverse=True)
     key, count = np.unique(at * len(found) + row, return_counts=True)
