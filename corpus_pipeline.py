@@ -19,13 +19,15 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without the lines that are too frequent in their source."""
+    """Documents that pass the quality rules, without the lines that are too frequent in their source. Null texts have no words and
+    go; null sources are a source; repeated rows are judged alike. No rows give none."""
     kept = filtered(quality.quality_rules(docs, keep=("lang", "source")), "kept")
     return _documents(kept.withColumnRenamed("clean_text", "text"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic. Null texts score as empty ones; repeated rows score alike; a score of exactly 0.3 is
+    toxic. No rows give none."""
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), keep=("text", "lang", "source"))
     return _documents(scored.filter("predicted = 0"))
 
@@ -41,13 +43,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: what the mix takes of a document once, and what it takes of it a second time."""
+    """The mix as documents: what the mix takes of a document once, and what it takes of it a second time. Null texts are never
+    taken; null sources come last; repeated rows each take part, ties in any order. No rows give none."""
     mix = mixing.Mixture(docs, keep_text=True, keep=("lang",)).documents()
     return _documents(mix.withColumnsRenamed({"_source": "source", "_keep_lang": "lang"}))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their places in the sequences."""
+    """Pieces of at most 2048 tokens with their places in the sequences. A null text is the end token alone; equal rows each get
+    their own place. No rows give none."""
     return packing.best_fit_packing(docs, packing.word_tokenizer(), with_ids=False)
 
 
