@@ -268,7 +268,7 @@ def _extracted(batches: Iterator[pa.RecordBatch], sigma: float) -> Iterator[pa.R
 
 
 def main_text(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", sigma: float = SIGMA) -> DataFrame:
-    """page_id, url, text, n_chars, one row per input row. Null or empty html: empty text. Narrow: no shuffle; pages
+    """page_id, url, text, n_chars, one row per input row. Null or empty html: empty text; repeated rows repeat; an empty table gives no rows. Narrow: no shuffle; pages
     are parsed one by one, in Arrow batches."""
     d = df.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     return d.mapInArrow(partial(_extracted, sigma=sigma), "page_id long, url string, text string, n_chars long")
