@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import as_bytes, gives_back, mix, stored, table
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Words in a block, slots in a shard, and shards at most (beyond that, shards grow).
-BLOCK, SHARD_SLOTS, MAX_SHARDS = 64, 4096, 100_000
+#: Words in a block, slots in a shard.
+BLOCK, SHARD_SLOTS = 64, 4096
 #: Slots that a task makes, about.
 TASK_SLOTS = 1 << 18
 SEED = 20240607
@@ -62,21 +63,44 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: f
     return out
 
 
-def draws(slots: list[int], shard_slots: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """Rows (shard, source, first slot, slots): each shard draws its sources' counts from a multinomial whose
-    weights are the slots that each source has left; a draw beyond what is left goes to the others. So all slots
-    of a source are drawn in the end, and each shard is a fair sample."""
-    left = np.array(slots, np.int64)
-    rng, out, shard = np.random.Generator(np.random.PCG64(seed)), [], 0
-    first = np.zeros(len(left), np.int64)
-    while (total := int(left.sum())) > 0:
-        n, got = min(shard_slots, total), np.zeros(len(left), np.int64)
-        while (need := n - int(got.sum())) > 0:
-            open_ = left - got
-            got = np.minimum(left, got + rng.multinomial(need, open_ / open_.sum()))
-        out += [(shard, int(s), int(first[s]), int(got[s])) for s in np.flatnonzero(got)]
-        first, left, shard = first + got, left - got, shard + 1
-    return out
+def drawn(need: int, left: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A multinomial draw of ``need`` slots, weighted by what the sources have left; what exceeds that is drawn again from the others."""
+    if need == int(left.sum()):
+        return left
+    got = np.zeros(len(left), np.int64)
+    while (lack := need - int(got.sum())) > 0:
+        rest = left - got
+        got = np.minimum(left, got + rng.multinomial(lack, rest / rest.sum()))
+    return got
+
+
+def draws(slots: np.ndarray, shard_slots: int, seed: int, begin: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slot of each source, slots of each source) of the shards from ``begin`` to before ``end``.
+
+    All shards together hold all slots. A run of shards draws what its first half gets, seeded by its bounds, and the second half
+    gets what is left; the halves go on alike down to single shards. So a task finds its own shards' counts, and where they begin in
+    each source, from the sources' slots alone: it draws on the way down to them and passes over all else.
+    """
+    runs = [(0, -(-int(slots.sum()) // shard_slots), np.zeros(len(slots), np.int64), slots)]
+    while runs:
+        low, high, first, own = runs.pop()
+        if low >= end or high <= begin or low >= high:
+            continue
+        if high - low == 1:
+            yield low, first, own
+            continue
+        middle = (low + high) // 2
+        got = drawn((middle - low) * shard_slots, own, np.random.Generator(np.random.PCG64([seed, low, high])))
+        runs += [(middle, high, first + got, own - got), (low, middle, first, got)]
+
+
+def _drawn_rows(batches: Iterator[pa.RecordBatch], slots: np.ndarray, blocks: np.ndarray, shard_slots: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, s, first, n, blocks) of the shards whose numbers, without gaps, are in the batches; a batch for each shard."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for shard, first, n in draws(slots, shard_slots, seed, int(ids.min()), int(ids.max()) + 1) if len(ids) else ():
+            s = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(s), shard), s, first[s], n[s], blocks[s])], ["shard", "s", "first", "n", "blocks"])
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -108,7 +132,7 @@ class Mixture:
     source, pass, block). Both are lazy; ``rows`` reads a table written once to the shared folder."""
 
     def __init__(self, df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep_text: bool = False, keep: tuple[str, ...] = (),
-                 weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED):
+                 weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED):
         spark = df.sparkSession
         d = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("_source"), F.col(text).alias("_text"), *(F.col(k).alias(f"_keep_{k}") for k in keep))
         d = with_sizes(d).withColumn("_th", F.xxhash64("_text")).withColumn("_rid", F.monotonically_increasing_id())
@@ -130,11 +154,10 @@ class Mixture:
         small = [c for c in d.columns if c != "_text"]
         d = d.select(*small).withColumn("_before", F.sum("size").over(own) - F.col("size"))
         self.rows = d.join(sums, (F.col("s") == F.col("_gs")) & (F.col("_salt") == F.col("_gsalt"))).withColumn("start", F.col("_start") + F.col("_before"))
-        per = max(SHARD_SLOTS, -(-sum(slots) // MAX_SHARDS))
-        drawn = [(*r, blocks[r[1]]) for r in draws(slots, per, seed)]
-        # a given number of partitions, which Spark does not join again: each row becomes thousands
-        parts = max(1, min(10_000, sum(slots) // TASK_SLOTS))
-        p = spark.createDataFrame(drawn or [(0, 0, 0, 0, 1)], "shard int, s int, first long, n long, blocks long").filter("n > 0").repartition(parts, "shard", "s")
+        shards = -(-sum(slots) // shard_slots)
+        ids = spark.range(0, shards, 1, max(1, min(shards, sum(slots) // TASK_SLOTS)))
+        make = partial(_drawn_rows, slots=np.array(slots, np.int64), blocks=np.array(blocks, np.int64), shard_slots=shard_slots, seed=seed)
+        p = ids.mapInArrow(make, "shard long, s long, first long, n long, blocks long")
         p = p.select("shard", "s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
         p = p.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
         self.slots = p.select("shard", "s", "slot", "pass", F.pandas_udf(_block_of, "long")(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "s", "pass")).alias("block"))
@@ -188,7 +211,7 @@ def mix_sources(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     Sources weigh 5, 2, 1, repeating, in order of code points, null last, and share 150 % of all words; none gives
     more than twice its words, so no document is taken more than twice. A null or empty text has size 0 and is
     taken 0 times. Equal rows each take part. The result depends on the rows' values and the seed only. On the
-    driver: one row per source, and at most MAX_SHARDS counts for each.
+    driver: one row per source; shards are drawn in tasks.
     """
     return Mixture(df, doc_id, text, source, **options).taken()
 

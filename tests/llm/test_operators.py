@@ -357,6 +357,43 @@ def test_targets_reshare_the_excess():
     assert mixing.targets([10, 100, 100], [5, 2, 1]) == pytest.approx([20, 590 / 3, 295 / 3])
 
 
+@pytest.mark.parametrize("slots", [[5], [0, 1, 0], [3, 1000, 0, 77, 12_345], list(range(60)), [10**12, 3, 10**9]])
+def test_draws_are_whole_and_independent_of_tasks(slots):
+    per = 64 if sum(slots) < 10**6 else 10**10
+    every = list(mixing.draws(np.array(slots), per, 7, 0, 1 << 62))
+    assert [shard for shard, _, _ in every] == list(range(-(-sum(slots) // per)))
+    assert all(n.sum() == per for _, _, n in every[:-1]) and sum(n for _, _, n in every).tolist() == slots
+    at = np.zeros(len(slots), np.int64)
+    for _, first, n in every:  # each source's slots follow one another over the shards
+        assert (first[n > 0] == at[n > 0]).all() and (n >= 0).all()
+        at += n
+    cuts = sorted({0, 1, len(every) // 3, len(every) // 2, len(every)})
+    parts = [x for a, b in zip(cuts, cuts[1:]) for x in mixing.draws(np.array(slots), per, 7, a, b)]
+    assert [(i, f.tolist(), n.tolist()) for i, f, n in parts] == [(i, f.tolist(), n.tolist()) for i, f, n in every]
+    if len(every) > 50:  # every shard is a fair sample
+        share = np.array(slots) / sum(slots)
+        worst = max(np.abs(n - per * share).max() for _, _, n in every[:-1])
+        assert worst < 8 * (per / 4) ** 0.5
+
+
+def test_mixing_over_many_small_shards(spark):
+    """Slots cover 0 to n - 1 of each source once, whatever the tasks, and a block is taken twice at most."""
+    df = docs(spark, [(i, " ".join(f"w{j}" for j in range(50))) for i in range(90)])
+    old, mixing.TASK_SLOTS = mixing.TASK_SLOTS, 64
+    try:
+        m = mixing.Mixture(df, block=4, shard_slots=16)
+        assert m.slots.rdd.getNumPartitions() > 20
+        rows = m.slots.collect()
+    finally:
+        mixing.TASK_SLOTS = old
+    assert collections.Counter(r.shard for r in rows).most_common()[0][1] == 16
+    for s in {r.s for r in rows}:
+        own = sorted(r.slot for r in rows if r.s == s)
+        assert own == list(range(len(own))) and max(collections.Counter(r.block for r in rows if r.s == s).values()) <= 2
+    one = mixing.Mixture(df, block=4, shard_slots=16).slots.collect()
+    assert sorted(map(str, one)) == sorted(map(str, rows))
+
+
 def test_permutations():
     for n in (1, 2, 3, 5, 64, 1000):
         got = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 12345, np.uint64))
