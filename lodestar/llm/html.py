@@ -3,6 +3,8 @@
 The standard library's parser streams events. Block elements end lines; each line has its characters of text, its
 tags and the elements around it. The ratio of the two is smoothed by a Gaussian over neighbouring lines, and lines
 above a threshold form the content cluster. Outside the articles of a page (or main), a smoothed ratio counts by PRIOR.
+Smoothing ends at the borders of articles; without any, lines outside the main region that reached the threshold only
+because the region borders on them leave the cluster.
 Menus, adverts, forms and the like are cleaned out of the cluster. The elements that hold its lines are the content
 region, and every other line of them stays, short ones too; without articles, so do the lines between cluster lines.
 """
@@ -203,13 +205,41 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> np.ndarray:
     return pad(v) / pad(np.ones(len(v)))
 
 
-def _cluster(lines: list[tuple[str, int, _Element]], anchored: list[bool], kept: list[bool], sigma: float) -> list[int]:
-    """Positions of the kept lines whose smoothed ratio reaches the threshold."""
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, _ in lines], sigma)
+def _smoothed_apart(values: list[float], parts: list, sigma: float) -> np.ndarray:
+    """Smoothing that ends where the part changes, so that a long text lends nothing to the menu or advert beside it."""
+    cuts = [0, *(i for i in range(1, len(parts)) if parts[i] is not parts[i - 1]), len(parts)]
+    return np.concatenate([smoothed(values[a:b], sigma) for a, b in zip(cuts, cuts[1:])])
+
+
+def _cluster(lines: list[tuple[str, int, _Element]], anchors: list, kept: list[bool], sigma: float) -> tuple[list[int], float]:
+    """Positions of the kept lines whose smoothed ratio reaches the threshold, and the threshold. ``anchors``: the article or main
+    around each line, smoothed apart; where there are any, the ratios of other lines count by PRIOR."""
+    ratio = _smoothed_apart(_ratios(lines), anchors, sigma)
     threshold = min(float(ratio.std()), float(ratio.mean()))
-    if any(anchored):
-        ratio = np.where(anchored, ratio, PRIOR * ratio)
-    return [i for i, r in enumerate(ratio) if kept[i] and r >= threshold]
+    if any(anchors):
+        ratio = np.where([bool(x) for x in anchors], ratio, PRIOR * ratio)
+    return [i for i, r in enumerate(ratio) if kept[i] and r >= threshold], threshold
+
+
+def _ratios(lines: list[tuple[str, int, _Element]]) -> list[float]:
+    return [len(text) / max(1, tags) for text, tags, _ in lines]
+
+
+def _main(elements: list[_Element], lines: list[tuple[str, int, _Element]], kept: list[bool], cluster: list[int]) -> _Element | None:
+    """The deepest element that can be a region and holds HELD of the cluster's characters. Sets each element's mass, its cluster
+    lines' characters, and size, those of all its kept lines."""
+    for x in elements:
+        x.mass, x.size = 0, 0
+    for i in cluster:
+        lines[i][2].mass += len(lines[i][0])
+    for (text, _, e), k in zip(lines, kept, strict=True):
+        e.size += len(text) if k else 0
+    for x in reversed(elements):  # children come after their parents
+        if x.parent:
+            x.parent.mass, x.parent.size = x.parent.mass + x.mass, x.parent.size + x.size
+    total = sum(len(lines[i][0]) for i in cluster)
+    main = max((x for x in elements if x.parent and x.mass >= HELD * total), key=lambda x: x.depth, default=None)
+    return main and main.container
 
 
 def extract(html: str, sigma: float = SIGMA) -> str:
@@ -224,10 +254,11 @@ def extract(html: str, sigma: float = SIGMA) -> str:
         anchors = [e.outer[tag] if k else None for (_, _, e), k in zip(lines, kept, strict=True)]
         if any(anchors):
             break
-    cluster = _cluster(lines, [a is not None for a in anchors], kept, sigma)
+    cluster, threshold = _cluster(lines, anchors, kept, sigma)
     if not cluster:  # all of it is cleaned out: what is left is clustered by itself
         own = [i for i, k in enumerate(kept) if k]
-        cluster = [own[j] for j in _cluster([lines[i] for i in own], [anchors[i] is not None for i in own], [True] * len(own), sigma)]
+        found, threshold = _cluster([lines[i] for i in own], [anchors[i] for i in own], [True] * len(own), sigma)
+        cluster = [own[j] for j in found]
     known: dict[int, bool] = {}
     if any(anchors[i] for i in cluster):
         regions = {id(anchors[i]): anchors[i] for i in cluster if anchors[i]}
@@ -242,17 +273,13 @@ def extract(html: str, sigma: float = SIGMA) -> str:
             if not anchors[i] and (c := lines[i][2].container) and id(c) not in holders:
                 region_ids.add(id(c))  # with the short lines there; an element around an article too is no region
         return " ".join(text for i, (text, _, e) in enumerate(lines) if kept[i] and (i in own or _inside(e, region_ids, known)))
-    total = float(sum(len(lines[i][0]) for i in cluster))
-    for i in cluster:
-        lines[i][2].mass += len(lines[i][0])
-    for (text, _, e), k in zip(lines, kept, strict=True):
-        e.size += len(text) if k else 0
-    for x in reversed(parser.elements):  # children come after their parents
-        if x.parent:
-            x.parent.mass, x.parent.size = x.parent.mass + x.mass, x.parent.size + x.size
-    held = [x for x in parser.elements if x.parent and x.mass >= HELD * total]
-    main = max(held, key=lambda x: x.depth, default=None)
-    main = main and main.container
+    main = _main(parser.elements, lines, kept, cluster)
+    inside = [main is not None and _inside(e, {id(main)}, known) for _, _, e in lines]
+    known = {}
+    plain = _ratios(lines)
+    apart = np.maximum(_smoothed_apart(plain, inside, sigma), plain)
+    cluster = [i for i in cluster if inside[i] or main is None or apart[i] >= threshold]
+    _main(parser.elements, lines, kept, cluster)  # the masses without the lines that only bordered on the region
     region_ids, own = {id(main)}, set(range(cluster[0], cluster[-1] + 1))
     around = {id(x) for x in _around(main)} if main else set()
     for i in cluster:  # other blocks that are cluster lines mostly stay with their short lines, too

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import math
+import re
 import struct
 import time
 import zlib
@@ -446,7 +447,95 @@ def test_smoothing_and_threshold_by_hand():
         lines = [("t" * round(50 * x + 1), 1 + i % 3, None) for i, x in enumerate(v / 50)]
         ratio = [sum(weight(abs(i - j)) * len(lines[j][0]) / lines[j][1] for j in range(n)) / sum(weight(abs(i - j)) for j in range(n)) for i in range(n)]
         least = min(sum(ratio) / n, math.sqrt(sum((r - sum(ratio) / n) ** 2 for r in ratio) / n))
-        assert html._cluster(lines, [False] * n, [True] * n, 1.0) == [i for i, r in enumerate(ratio) if r >= least]
+        assert html._cluster(lines, [None] * n, [True] * n, 1.0)[0] == [i for i, r in enumerate(ratio) if r >= least]
+
+
+def made_page(rng, depth=0):
+    """A random well-formed page of blocks, with short and long texts, articles, menus and adverts."""
+    word = lambda: " ".join(["text"] * int(rng.choice([1, 2, 6, 40, 90])))
+    if depth == 3 or rng.random() < 0.35:
+        return [f"<p>{word()}</p>", f"<p><b>{word()}</b> <i>x</i></p>", f'<div class="ad">{word()}</div>', f"<nav><p><i>{word()}</i></p></nav>", f"{word()} "][int(rng.integers(5))]
+    inner = "".join(made_page(rng, depth + 1) for _ in range(int(rng.integers(1, 5))))
+    return f"<article>{inner}</article>" if rng.random() < 0.12 else f"<div>{inner}</div>"
+
+
+def naive_main_text(page):
+    """The operator's rules, for well-formed pages of these elements: every path is walked and every sum is taken anew."""
+    events, blocks, path, lines, buffer, tags = re.findall(r"<[^>]*>|[^<]+", page), {"body", "div", "p", "nav", "article"}, [], [], "", 0
+    for n, event in enumerate(events):
+        if not event.startswith("<"):
+            buffer += event
+            continue
+        name = re.match(r"</?(\w+)", event)[1]
+        if name in blocks:
+            if buffer.split():
+                lines.append((" ".join(buffer.split()), tags, tuple(path)))
+                tags = 0
+            buffer = ""
+        tags += 1
+        path = path[:-1] if event.startswith("</") else [*path, (name, "ad" in event, n)]
+    keep = [not any(name == "nav" or ad for name, ad, _ in p) for _, _, p in lines]
+    if not any(keep):
+        return ""
+    article = [next((e for e in p if e[0] == "article"), None) if k else None for (_, _, p), k in zip(lines, keep)]
+    box = lambda p: next((e for e in reversed(p) if e[0] in ("div", "body")), None)
+
+    def smooth(of, parts):
+        out = []
+        for i in range(len(of)):
+            near = [j for j in range(max(0, i - 3), min(len(of), i + 4)) if all(parts[k] == parts[i] for k in range(min(i, j), max(i, j) + 1))]
+            weight = [math.exp(-((i - j) ** 2) / 2) for j in near]
+            out.append(sum(w * len(lines[of[j]][0]) / max(1, lines[of[j]][1]) for w, j in zip(weight, near)) / sum(weight))
+        return out
+
+    def chosen(of):
+        ratio = smooth(of, [article[i] for i in of])
+        mean = sum(ratio) / len(ratio)
+        least = min(mean, (sum((r - mean) ** 2 for r in ratio) / len(ratio)) ** 0.5)
+        some = any(article[i] for i in of)
+        return [i for i, r in zip(of, ratio) if keep[i] and (r if article[i] or not some else r / 2) >= least - 1e-9], least
+
+    every = list(range(len(lines)))
+    own, least = chosen(every)
+    if not own:
+        own, least = chosen([i for i in every if keep[i]])
+    chars = lambda rows: sum(len(lines[i][0]) for i in rows)
+    if any(article[i] for i in own):
+        regions = {article[i] for i in own if article[i]}
+        above = {e for i in own if article[i] for e in lines[i][2][: lines[i][2].index(article[i]) + 1]}
+        regions |= {box(lines[i][2]) for i in own if not article[i]} - above
+        stay = lambda i: i in own or regions & set(lines[i][2])
+    else:
+        held = [e for e in {e for i in own for e in lines[i][2]} if chars(i for i in own if e in lines[i][2]) >= 0.75 * chars(own)]
+        deepest = max(held, key=lambda e: next(p.index(e) for _, _, p in lines if e in p), default=None)
+        main = deepest and box(next(p[: p.index(deepest) + 1] for _, _, p in lines if deepest in p))
+        inside = [main in p for _, _, p in lines]
+        apart = smooth(every, inside)
+        own = [i for i in own if inside[i] or max(apart[i], len(lines[i][0]) / max(1, lines[i][1])) >= least - 1e-9]
+        around = lines[next(i for i in every if inside[i])][2]
+        around = set(around[: around.index(main) + 1])
+        regions = {main}
+        for c in {box(lines[i][2]) for i in own} - around:
+            if chars(i for i in own if c in lines[i][2]) >= 0.75 * chars(i for i in every if keep[i] and c in lines[i][2]):
+                regions.add(c)
+        stay = lambda i: own[0] <= i <= own[-1] or regions & set(lines[i][2])
+    return " ".join(lines[i][0] for i in every if keep[i] and stay(i))
+
+
+def test_html_by_brute_force():
+    rng = np.random.default_rng(8)
+    pages = ["<body>" + "".join(made_page(rng) for _ in range(int(rng.integers(1, 6)))) + "</body>" for _ in range(600)]
+    made = [(naive_main_text(p), html.extract(p), p) for p in pages]
+    assert all(want == got for want, got, _ in made), next((w, g, p) for w, g, p in made if w != g)
+    assert len({w for w, _, _ in made}) > 300
+
+
+def test_html_ratios_end_at_the_region():
+    """A short text of a neutral class borders on an article or a long block: the text beside it lends it nothing."""
+    long = "<p>" + "words of the story. " * 30 + "</p>"
+    for frame in ("<article>{}</article>", "<div>{}</div>"):
+        page = "<body><div><a href=x>menu</a></div><div><b>Buy</b> this</div>" + frame.format(long * 3) + "<div><i>imprint</i> of us</div></body>"
+        assert html.extract(page) == " ".join(re.sub("<.*?>", " ", long * 3).split())
 
 
 def test_html_frame(spark):
