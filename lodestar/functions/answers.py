@@ -9,9 +9,8 @@ from lodestar.functions.text import neutral_tags
 
 # A marker, the numbers in one, signs before which no space stays, and the answer that tells of no sources.
 MARKER = r"[\[［]([^\[\]［］\n]{1,20})[\]］]"
-DASHES, COMMAS = "-–~～－", ",，、"
-_NUMBERS = rf"(?U)^\d+(?:\s*(?:[{COMMAS}]|[{DASHES}])\s*\d+)*$".replace("[-", r"[\-")
-_PART = rf"(?U)(\d+)(?:\s*[{DASHES}]\s*(\d+))?".replace("[-", r"[\-")
+_NUMBERS = r"(?U)^\d+(?:\s*[,，、\-–~～－]\s*\d+)*$"
+_PART = r"(?U)(\d+)(?:\s*[\-–~～－]\s*(\d+))?"
 SPACE_BEFORE_SIGN = r"[ \t　]+(?=[。，、；：！？.,;:!?\n]|$)"
 INSUFFICIENT = "資料不足"
 SOURCE_LINE = r"(?mU)^\s*(資料來源[:：]?.*|\[\d+\](\[\d+\])*\s+\S+\.(pdf|txt|md)\b.*)$"

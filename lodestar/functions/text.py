@@ -12,8 +12,8 @@ CJK = "[\u3000-\u303f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef]"
 HAN = r"[\p{IsHan}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
 #: Numerals in numbers of articles, and what may be numbered.
 NUMERALS, NUMBERED = "[零〇一二兩三四五六七八九十百千]+", "條|章|節|款|項"
-#: Signs that a page-number line may hold besides digits and white space.
-PAGE_SIGNS = "-–—|/.:：第頁共次PpAaGgEeOoFf"
+#: All that a page-number line may hold.
+PAGE_NUMBER = r"^[\s0-9\-–—|/.:：第頁共次PpAaGgEeOoFf]*$"
 _FULL = "".join(chr(c) for a, b in ((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) for c in range(a, b + 1))
 _HALF = "".join(chr(ord(c) - 0xFEE0) for c in _FULL)
 
@@ -56,7 +56,7 @@ def squeeze_blank_lines(text: Column) -> Column:
 
 def is_page_number(line: Column) -> Column:
     """A line of digits, page signs and white space, with a digit at least."""
-    return line.rlike(r"^[\s0-9" + PAGE_SIGNS.replace("-", r"\-", 1) + r"]*$") & line.rlike("[0-9]")
+    return line.rlike(PAGE_NUMBER) & line.rlike("[0-9]")
 
 
 def line_signature(line: Column) -> Column:
