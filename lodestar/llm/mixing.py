@@ -168,7 +168,7 @@ class Mixture:
         ids = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / self.block), F.floor((last - 1) / self.block)))
         d = self.rows.select("doc_id", "_rid", "s", "size", "source_size", "target", "start", F.explode_outer(ids).alias("block"))
         d = d.withColumn("low", F.greatest(F.col("start"), F.col("block") * self.block) - F.col("start")).withColumn("high", F.least(last, (F.col("block") + 1) * self.block) - F.col("start"))
-        times = self.slots.groupBy(F.col("s").alias("_ts"), F.col("block").alias("_tb")).agg(F.count(F.lit(1)).alias("_times"))
+        times = self.slots.groupBy(F.col("s").alias("_ts"), F.col("block").alias("_tb")).agg(F.count(F.lit(1)).alias("_times")).hint("merge")  # grows with the slots: never broadcast
         return d.join(times, (F.col("s") == F.col("_ts")) & (F.col("block") == F.col("_tb")), "left").withColumn("times", F.coalesce("_times", F.lit(0))).drop("_ts", "_tb", "_times")
 
     def taken(self) -> DataFrame:
