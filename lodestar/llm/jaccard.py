@@ -30,6 +30,8 @@ TILE = 256
 HOT_LEAST, HOT_GRAMS, HOT_COUNTERS = 4, 1 << 17, 1 << 23
 #: Bits of the filter that spares sets of documents without candidates: a broadcast of 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
+#: Tasks that the rows of one hot key are dealt to where a value is looked up for it.
+SALTS = 32
 #: Texts, and bytes of them beyond one text, that are taken apart at once.
 TEXTS, TEXT_BYTES = 1024, 1 << 19
 _U = np.uint64
@@ -285,6 +287,19 @@ def _block(key: tuple, table_: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "n": pa.array(out_n, pa.int64())})
 
 
+def looked_up(df: DataFrame, key: str, row: str, values: DataFrame) -> DataFrame:
+    """df with the second column of ``values`` (key, value; a row for each key) for its ``key``, null where there is none.
+
+    One key may stand in a third of all rows, so a key's rows are dealt by a hash of ``row`` to SALTS tasks, and its value is
+    sent to those of them that have the key.
+    """
+    found, value = values.columns
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(SALTS)))
+    wanted = dealt.select(F.col(key).alias("_key"), F.col("_salt").alias("_part")).distinct()
+    sent = wanted.join(values, F.col("_key") == F.col(found)).select("_key", "_part", value)
+    return dealt.join(sent, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part")), "left").select(*df.columns, value)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the least node of its component.
 
@@ -294,15 +309,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     before = labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
+        near = looked_up(both, "b", "a", labels.select("node", F.col("root").alias("near"))).groupBy("a").agg(F.min("near").alias("near"))
         hooked = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("to"))
         # a root learns what the nodes below it have seen
         told = hooked.groupBy(F.col("root").alias("r")).agg(F.min("to").alias("told"))
-        hooked = hooked.join(told, F.col("node") == F.col("r"), "left").select("node", "root", F.least("to", "told").alias("to"))
-        jump = hooked.select(F.col("node").alias("t"), F.col("to").alias("further"))
-        new = stored(hooked.join(jump, F.col("to") == F.col("t"), "left").select("node", F.col("root").alias("old"), F.least("to", "further").alias("root")), "labels")
+        hooked = stored(hooked.join(told, F.col("node") == F.col("r"), "left").select("node", "root", F.least("to", "told").alias("to")), "hooked")
+        # of labels, only those that are no roots any more lead further
+        jump = looked_up(hooked, "to", "node", hooked.filter("to < node").select(F.col("node").alias("t"), F.col("to").alias("further")))
+        new = stored(jump.select("node", F.col("root").alias("old"), F.least("to", "further").alias("root")), "labels")
         changed = new.filter(F.col("old") != F.col("root")).limit(1).count()
-        discard(before)
+        discard(before, hooked)
         before, labels = new, new.select("node", "root")
         if not changed:
             discard(both)
@@ -316,7 +332,7 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     Two rows link when den * |A and B| >= num * |A or B|. component_id is the least doc_id reachable by links, itself
     included; n_links counts the rows it links with. Empty sets link with nothing. Null ids are ignored when the least
     is taken, and a row alone with a null id has a null component. Sets are compared by 64-bit hashes of shingles.
-    Equal sets are one class, which its size is carried with; copies are never paired.
+    Equal sets are one class, which its size is carried with; copies are never paired. No rows give none.
     """
     spark = df.sparkSession
     texts = df.select(F.col(text).alias("_t"))
@@ -340,14 +356,15 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
     # tiles: two hops of the least neighbour bring candidates of one family together; any tiles give the same links
     one = stored(member.groupBy("key").agg(F.min("least").alias("m")), "neighbours")
-    two = one.join(one.select(F.col("key").alias("k"), F.col("m").alias("m2")), F.col("m") == F.col("k")).select("key", F.least("m", "m2").alias("family"))
+    two = looked_up(one, "m", "key", one.select(F.col("key").alias("k"), F.col("m").alias("m2"))).select("key", F.least("m", "m2").alias("family"))
     # sizes that may link differ by a factor of den / num at most: a little more spans a size class, so classes by one
     step = math.log(1.01 * den / num)
     size_of = classes.groupBy(F.col("key").alias("ck")).agg(F.max("n_shingles").alias("n"), F.max("copies").alias("copies"))
-    two = stored(two.join(size_of, F.col("key") == F.col("ck")).select("key", "family", F.floor(F.log(F.col("n")) / F.lit(step)).alias("class")), "families")
-    sizes = stored(two.groupBy(F.col("family").alias("f"), F.col("class").alias("fc")).agg(F.count(F.lit(1)).alias("size")), "family-sizes")
-    tiles = two.join(sizes, (F.col("family") == F.col("f")) & (F.col("class") == F.col("fc")))
-    tiles = stored(tiles.select(F.col("key").alias("k"), "class", F.xxhash64("family", "class", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / TILE))).alias("tile")), "tiles")
+    two = two.join(size_of, F.col("key") == F.col("ck")).select("key", "family", F.floor(F.log(F.col("n")) / F.lit(step)).alias("class"))
+    two = stored(two.withColumn("group", F.xxhash64("family", "class")), "families")
+    sizes = stored(two.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("size")), "family-sizes")
+    tiles = looked_up(two, "group", "key", sizes)
+    tiles = stored(tiles.select(F.col("key").alias("k"), "class", F.xxhash64("group", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / TILE))).alias("tile")), "tiles")
 
     # blocks: each pair of tiles that some n-gram spans, with the rows in the two that it stands in
     placed = stored(member.join(tiles, F.col("key") == F.col("k")).select("gram", "key", "tile", "class"), "placed")
@@ -374,7 +391,7 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     degrees = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("da")).agg(F.sum("n").alias("linked"))
     known = roots.join(classes.select("key", "least"), F.col("node") == F.col("key"))
     least = known.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component"))
-    known = known.select("node", "root").join(least, F.col("root") == F.col("r")).select("node", "component")
+    known = looked_up(known.select("node", "root"), "root", "node", least).select("node", "component")
     c = classes.join(known, F.col("key") == F.col("node"), "left").join(degrees, F.col("key") == F.col("da"), "left")
     c = c.select(F.col("key").alias("ck"), F.col("key2").alias("ck2"), F.coalesce("component", "least").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = rows.drop("prefix").join(c, (F.col("key") == F.col("ck")) & (F.col("key2") == F.col("ck2")) & (F.col("n_shingles") > 0), "left")

@@ -174,6 +174,29 @@ def test_one_row_stays_of_each_group(spark):
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, want))
 
 
+def test_components_of_stars_and_paths_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    edges = [(5000, i) for i in range(400)] + [(i, 7) for i in range(1000, 1300)] + [tuple(sorted(rng.choice(np.arange(2000, 2300), 2, False).tolist())) for _ in range(200)]
+    root = {n: n for e in edges for n in e}
+    while True:
+        new = dict(root)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == root:
+            break
+        root = new
+    assert dict(map(tuple, jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect())) == root
+
+
+def test_looked_up_deals_a_hot_key_to_many_tasks(spark):
+    rows = [(i, 1 if i % 3 else i) for i in range(3000)] + [(3000, None), (3000, 1), (3000, 1)]
+    df = spark.createDataFrame(rows, "row long, k long").repartition(4)
+    values = spark.createDataFrame([(i, i * 10) for i in range(0, 2000)], "key long, v long")
+    got = jaccard.looked_up(df, "k", "row", values)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((r, k, k * 10 if k is not None and k < 2000 else None)) for r, k in rows)
+    assert got.columns == ["row", "k", "v"] and jaccard.looked_up(df.limit(0), "k", "row", values).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     got = jaccard.components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")).collect()
     assert len(got) == 201 and {r.root for r in got} == {0}
