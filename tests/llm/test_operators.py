@@ -701,3 +701,12 @@ def test_toxicity_is_the_softmax_of_mean_embeddings():
             own = toxicity.word_subwords([w])[0].tolist()
             logit += sum(table.get(k, 0.0) for k in own) / len(own) / len(t.split())
         assert got == pytest.approx(1 / (1 + math.exp(-logit)))
+
+
+def test_ctw_keeps_every_context_and_scores_grams_beyond_the_hot_ones(spark):
+    rows = [(1, "ab abba ab"), (2, "abba b"), (3, "bab a"), (4, "ba é zz"), (5, "")]
+    training, codes = docs(spark, rows[:3]), [ctw.coded(x.encode()) for _, x in rows[:3]]
+    for depth, hot in ((1, 4), (3, 1 << 21), (3, 5), (3, 0)):
+        got = {r.doc_id: r.score for r in ctw.lm_scores(docs(spark, rows), training, depth=depth, hot_grams=hot).collect()}
+        for i, t in rows:
+            assert got[i] == pytest.approx(naive_ctw(codes, ctw.coded(t.encode()), depth, 1), rel=1e-5)
