@@ -20,6 +20,8 @@ from lodestar.operators.terms import holding, question_terms
 RRF_K, CANDIDATES = 60, 20
 #: Questions with vectors that one pass over the collection holds in memory; more take several passes.
 QUERY_BLOCK = 4096
+#: Scores that a task holds at once: a block's questions meet a batch of points in slices; no result depends on it.
+CELLS = 1 << 20
 #: Digits that scores are ranked by: beyond them, sums of equal terms in another order differ.
 DIGITS = 12
 
@@ -89,22 +91,7 @@ def dense_hits(queries: DataFrame, points: DataFrame, k: int, threshold: float |
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for model, size, qid, q in block.value:
-                    at, m = _vectors(batch.column(1), size)
-                    if models:
-                        own = np.array([x == model for x in batch.column(2).take(pa.array(at)).to_pylist()], bool)
-                        at, m = at[own], m[own]
-                    if not len(at):
-                        continue
-                    pid = batch.column(0).to_numpy()[at]
-                    score = np.round(q @ _unit(m).T, DIGITS)
-                    score[np.isnan(score)] = -np.inf
-                    if exclude_self:
-                        score[qid[:, None] == pid[None, :]] = -np.inf
-                    if threshold is not None:
-                        score[score <= threshold] = -np.inf
-                    r, c = _best(score, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(pid[c]), pa.array(score[r, c])], ["query_id", "id", "score"])
+                yield from _searched(batch, block.value, k, threshold, exclude_self, bool(models))
 
         parts.append(points.select(F.col("id").cast("long").alias("id"), "vector", *models).filter("id IS NOT NULL").mapInArrow(search, "query_id long, id long, score double"))
     if not parts:
@@ -115,6 +102,28 @@ def dense_hits(queries: DataFrame, points: DataFrame, k: int, threshold: float |
     return out
 
 
+def _searched(batch: pa.RecordBatch, groups: list[tuple], k: int, threshold: float | None, exclude_self: bool, by_model: bool) -> Iterator[pa.RecordBatch]:
+    """The k best points of a batch (id, vector, model) for each question of _groups()."""
+    for model, size, qid, q in groups:
+        at, m = _vectors(batch.column(1), size)
+        if by_model:
+            own = np.array([x == model for x in batch.column(2).take(pa.array(at)).to_pylist()], bool)
+            at, m = at[own], m[own]
+        if not len(at):
+            continue
+        pid, m, step = batch.column(0).to_numpy()[at], _unit(m).T, max(1, CELLS // len(at))
+        for first in range(0, len(qid), step):
+            ask = qid[first : first + step]
+            score = np.round(q[first : first + step] @ m, DIGITS)
+            score[np.isnan(score)] = -np.inf
+            if exclude_self:
+                score[ask[:, None] == pid[None, :]] = -np.inf
+            if threshold is not None:
+                score[score <= threshold] = -np.inf
+            r, c = _best(score, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ask[r]), pa.array(pid[c]), pa.array(score[r, c])], ["query_id", "id", "score"])
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)

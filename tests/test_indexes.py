@@ -2,8 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +171,21 @@ def test_retrieve_gate_live_documents_and_models(spark):
     assert run(thresholds={"m": 0.5}, rerank=True, rerank_candidates=1, top_k=2)[0] == [(1, 1, 1), (1, 4, 2), (3, 3, 1), (3, 4, 2)]
     with pytest.raises(Exception, match="no threshold for model m"):
         run(thresholds={"x": 0.5})
+
+
+def test_dense_search_holds_a_slice_of_the_scores():
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(8000, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(8000)), pa.array(vectors.tolist())], ["id", "vector"])
+    groups = rt._groups([{"query_id": i, "vector": v.tolist()} for i, v in enumerate(vectors[:3000])])
+    tracemalloc.start()
+    got = [(q, i, s) for b in rt._searched(batch, groups, 3, None, True, False) for q, i, s in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # all scores would be 192 MB
+    unit = vectors / np.sqrt((vectors**2).sum(1, keepdims=True))
+    for q in (0, 1, 1500, 2999):
+        score = np.round(unit @ unit[q], 12)
+        score[q] = -np.inf
+        assert sorted(i for own, i, _ in got if own == q) == sorted(np.argsort(-score)[:3].tolist())
+    assert len(got) == 9000
