@@ -1,6 +1,6 @@
 """Keyword search over postings of character pairs: made for one batch of questions, or stored as an index.
 
-Texts are taken in blocks of a few hundred, longest first. A block's postings are, for each pair, the texts that have it
+Texts are taken in blocks of a few hundred, of fewer if they are long, longest first. A block's postings are, for each pair, the texts that have it
 and how often, as arrays in a binary row. A question's score can't exceed the sum over its pairs of weight times the
 block's greatest count, so a task passes over a block for every question whose k-th score so far is above that bound.
 
@@ -16,6 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from lodestar.sources.versioned import VersionedTable
 
 #: Texts in a block, buckets of pairs, and questions of one pass (with about 12 bytes for each of their pairs).
 BLOCK, BUCKETS, QUESTIONS = 256, 64, 32_768
+#: Characters in a block of more than one text, which bound what a task holds.
+CHARS = 1 << 20
 CANDIDATES = 20
 _ROW = "block string, most long, bucket int, ids array<long>, pairs binary, starts binary, places binary, counts binary"
 _HIT = "query_id long, id long, score double"
@@ -83,14 +86,22 @@ def _packed(pair: np.ndarray, place: np.ndarray, count: np.ndarray) -> tuple[byt
     return pair[first].astype("<i8").tobytes(), np.append(first, len(pair)).astype("<i4").tobytes(), place.astype("<i2").tobytes(), count.astype("<i4").tobytes()
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch (id, text) in parts of at most BLOCK texts and, beyond one text, CHARS characters."""
+    size, at = pc.utf8_length(batch.column(1)).to_numpy(), 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(size[at : at + BLOCK], dtype=np.int64), CHARS, "right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 def _made(batches: Iterator[pa.RecordBatch], shared, name: str, split: bool) -> Iterator[pa.RecordBatch]:
     """Block rows of the texts: bucket -1 holds the ids; the postings are in it too unless they are split by bucket."""
     known, number = shared.value if shared is not None else None, 0
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4]
     names = [x.split()[0] for x in _ROW.split(", ")]
     for batch in batches:
-        for start in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(start, BLOCK)
+        for part in _parts(batch):
             pair, place, count, most = _postings(part.column(1).to_pylist(), known)
             block, ids = f"{name}-{TaskContext.get().partitionId()}-{number}", part.column(0).to_pylist()
             number += 1
@@ -129,7 +140,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None
     block = ids = None
     held: list[tuple] = []
     for batch in batches:
-        for name, own, *data in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "pairs", "starts", "places", "counts")), strict=True):
+        columns = [batch.column(c) for c in ("block", "ids", "pairs", "starts", "places", "counts")]
+        for row in range(batch.num_rows):  # a batch's postings are never copied as a whole
+            name, own, *data = (c[row].as_py() for c in columns)
             if name != block:
                 if block is not None and ids is not None:
                     yield ids, held

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.operators import postings
 from lodestar.operators import retrieval as rt
 from lodestar.operators import retrieve as rv
 from lodestar.operators.postings import KeywordIndex, keyword_hits
@@ -189,3 +190,13 @@ def test_dense_search_holds_a_slice_of_the_scores():
         score[q] = -np.inf
         assert sorted(i for own, i, _ in got if own == q) == sorted(np.argsort(-score)[:3].tolist())
     assert len(got) == 9000
+
+
+def test_blocks_of_long_texts_hold_fewer(monkeypatch):
+    monkeypatch.setattr(postings, "CHARS", 1000)
+    sizes = [5000, 900, 900, 400, 400, 400, *[3] * 700, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(["中" * n for n in sizes])], ["id", "t"])
+    parts = [p.column(0).to_pylist() for p in postings._parts(batch)]
+    assert [i for p in parts for i in p] == list(range(len(sizes)))
+    assert all(len(p) == 1 or len(p) <= postings.BLOCK and sum(sizes[i] for i in p) <= 1000 for p in parts)
+    assert [len(p) for p in parts] == [1, 1, 1, 2, 201, 256, 245]
