@@ -100,21 +100,26 @@ def held_out(doc_id: Column | str, parts: int, part: int = 2) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def give_back() -> None:
+    """Gives memory that is free in this process back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def gives_back(f):
     """A function over a task's batches that, when the task ends, gives freed memory back to the system. A Python worker
     lives on for later tasks and other stages, and would otherwise hold the most that it ever used."""
 
     @functools.wraps(f)
     def run(batches, *args, **kwargs):
-        import pyarrow as pa
-
         try:
             yield from f(batches, *args, **kwargs)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 

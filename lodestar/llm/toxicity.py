@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_counts, as_bytes, count_sorted, gives_back, held_out, mix, table, word_hashes
+from .common import add_counts, as_bytes, count_sorted, give_back, gives_back, held_out, mix, table, word_hashes
 
 DIM, GRAMS = 8, (3, 4, 5, 6)
 #: The bounded sample that the model is fitted on: rows of each class, and characters of a row's text, at most.
@@ -26,7 +26,7 @@ MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2500, 4000, 20_000
 #: ones by so many standard errors and so many times; the MAX_SUBWORDS most telling are kept.
 MIN_DOCUMENTS, MIN_Z, MIN_LIFT, MAX_SUBWORDS = 3, 4.5, 5.0, 1 << 16
 #: Texts, and bytes of them, that are taken apart at once while fitting; no result depends on them.
-FIT_TEXTS, FIT_BYTES = 256, 2 << 20
+FIT_TEXTS, FIT_BYTES = 256, 1 << 19
 #: Bytes of words that are taken apart at once while scoring; longer words are worked through in slices. Words of more
 #: than LONG bytes are not remembered.
 SLICE, LONG = 1 << 18, 64
@@ -141,15 +141,16 @@ def train(texts: list[bytes], toxic: np.ndarray, prior: float | None = None, epo
         return none
     n, n1 = len(y), int(y.sum())
     everywhere, in_toxic = [], []
-    for at, end in _parts(texts):  # in parts, so that the driver never holds all subwords of all words
+    for at, end in _parts(texts):  # in parts, counted at once, so that the driver never holds all subwords of all words or texts
         keys, docs = _subwords(texts[at:end])
         own = [np.unique(keys[_spread(w, start, size)]) for w, _, _, start, size in docs]
         everywhere.append(count_sorted(np.concatenate(own)))
-        in_toxic += [k for k, bad in zip(own, y[at:end], strict=True) if bad]
+        in_toxic.append(count_sorted(np.concatenate([np.empty(0, _U), *(k for k, bad in zip(own, y[at:end], strict=True) if bad)])))
         if len(everywhere) == 8:
-            everywhere, in_toxic = [add_counts(everywhere)], [np.concatenate(in_toxic)]
-    known, there = add_counts(everywhere)
-    bad_keys, bad_counts = count_sorted(np.concatenate(in_toxic))
+            everywhere, in_toxic = [add_counts(everywhere)], [add_counts(in_toxic)]
+    del keys, docs, own
+    (known, there), (bad_keys, bad_counts) = add_counts(everywhere), add_counts(in_toxic)
+    everywhere = in_toxic = None
     bad = np.zeros(len(known))
     bad[np.searchsorted(known, bad_keys)] = bad_counts
     p, high, low = there / n, bad / n1, (there - bad) / (n - n1)
@@ -273,7 +274,11 @@ def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     toxic = np.array(rows.column("toxic").to_pylist(), np.int64)
     usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(doc_id, parts))
     prior = usable.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    model = spark.sparkContext.broadcast(train(as_bytes(rows.column("text")), toxic, prior))
+    texts = as_bytes(rows.column("text"))
+    del rows
+    model = spark.sparkContext.broadcast(train(texts, toxic, prior))
+    del texts
+    give_back()  # the driver goes on with other work
     d = df.select(F.col(doc_id).alias("doc_id"), held_out(doc_id, parts).alias("held_out"), F.col(text).alias("_text"), *(F.col(k).alias(f"_keep_{k}") for k in keep))
     fields = ", ".join(f"`{n}` {t}" for n, t in d.dtypes if n != "_text")
     d = d.mapInArrow(partial(_score, model=model), f"{fields}, score double")

@@ -7,6 +7,7 @@ import math
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -710,3 +711,14 @@ def test_ctw_keeps_every_context_and_scores_grams_beyond_the_hot_ones(spark):
         got = {r.doc_id: r.score for r in ctw.lm_scores(docs(spark, rows), training, depth=depth, hot_grams=hot).collect()}
         for i, t in rows:
             assert got[i] == pytest.approx(naive_ctw(codes, ctw.coded(t.encode()), depth, 1), rel=1e-5)
+
+
+def test_toxicity_fit_counts_subwords_part_by_part():
+    rng = np.random.default_rng(5)
+    words = [b"%c%c%d" % (97 + i % 26, 97 + i // 26 % 26, 10_000 + 7 * i) for i in range(600)]
+    texts = [b" ".join([b"vile", *(words[j] for j in rng.permutation(600)[:400])][not bad :]) for bad in [1] * 500 + [0] * 500]
+    tracemalloc.start()
+    toxicity.train(texts, np.array([1] * 500 + [0] * 500), epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6  # the subwords of each toxic text, kept until the end, would be over 50 MB
